@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profloom.llm import bpe, packing, quantiles
+from profloom.llm import bpe, packing, quantiles, spans
 from profloom.plans import table
 
 THRESHOLDS = {10: 300.0, 50: 850.0, 90: 1300.0}
@@ -43,7 +43,16 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_report(p7_pack(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_percentiles, p6_ids, p6_counts, p7_pack, p7_containers)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf_dir, "documents"))
+
+
+def p8_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return spans.shared_amounts(documents, spans.shared_spans(documents))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_percentiles, p6_ids, p6_counts, p7_pack, p7_containers, p8_found, p8_amounts)}
 
 SQL: dict[str, str] = {
     "p3_found": """
