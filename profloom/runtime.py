@@ -70,3 +70,10 @@ def global_sequence(df: DataFrame, order: list[str], name: str = "seq") -> DataF
         .withColumn(name, F.col("__start") + F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("__part", "__start", "__mid")
     )
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared folder and read it back; columns stay prunable."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
