@@ -86,7 +86,13 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     for f in schema.fields:
         c, have = F.col(f"`{f.name}`"), df.schema[f.name].dataType
         lossy = isinstance(have, T.StringType) and not isinstance(f.dataType, T.StringType)
-        out.append((c.try_cast(f.dataType) if lossy else c if have == f.dataType else c.cast(f.dataType)).alias(f.name))
+        if have == f.dataType:
+            value = c
+        elif isinstance(f.dataType, T.NullType):
+            value = F.lit(None)
+        else:
+            value = c.try_cast(f.dataType) if lossy else c.cast(f.dataType)
+        out.append(value.alias(f.name))
     return df.select(*out)
 
 

@@ -13,7 +13,7 @@ from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,8 +98,14 @@ def scan_files(spark: SparkSession, paths: Sequence[str], names: Sequence[str],
         schema = T.StructType([T.StructField("TableNumber", T.LongType()), *(f for f in schema.fields if f.name != "TableNumber")])
     raw = raw.select(*(F.col(f"`{n}`") for n in schema.names))
     nan = lambda c: F.when(F.lower(c).isin("nan", "+nan", "-nan"), F.lit("NaN")).when(F.lower(c).isin("inf", "+inf"), F.lit("Infinity")).when(F.lower(c) == "-inf", F.lit("-Infinity")).otherwise(c)
-    floats = (T.DoubleType, T.FloatType)
-    cleaned = raw.select(*((nan(F.col(f"`{f.name}`")) if isinstance(f.dataType, floats) else F.nullif(F.col(f"`{f.name}`"), F.lit(""))).alias(f.name) for f in schema.fields))
+
+    def clean(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if not isinstance(raw.schema[f.name].dataType, T.StringType):
+            return c
+        return nan(c) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.nullif(c, F.lit(""))
+
+    cleaned = raw.select(*(clean(f).alias(f.name) for f in schema.fields))
     return conform(cleaned, schema)
 
 

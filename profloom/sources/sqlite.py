@@ -90,7 +90,7 @@ class SqliteReader(DataSourceReader):
             if low is not None:
                 step = max(1, -(-(high - low + 1) // self.parts))
                 out += [_Range(file, a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
-        return out
+        return out or [_Range(self.files[0], 1, 0)]  # an empty range, where there are no rows
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         path, table, number = partition.file
