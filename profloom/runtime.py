@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SHIPPED: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
@@ -77,3 +83,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, unless they find it by themselves through PYTHONPATH or the working directory.
+
+    A zip of the package goes to the shared folder, once per application.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root == os.getcwd() or root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.sparkContext.applicationId in _SHIPPED:
+        return
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(root, "profloom")):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    target = shared_path(spark, "profloom") + ".zip"
+    filesystem, path = fs.FileSystem.from_uri(target if "://" in target else f"file://{target}")
+    filesystem.create_dir(os.path.dirname(path), recursive=True)
+    with filesystem.open_output_stream(path) as f:
+        f.write(held.getvalue())
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(spark.sparkContext.applicationId)
