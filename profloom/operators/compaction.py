@@ -36,6 +36,7 @@ from pyspark.sql import Window
 
 RECORD = ("ImageNumber", "ObjectNumber", "c0")
 KEY = ("table_number", "image_number", "object_number", "c0")
+FEW_FILES = 250_000  # whose groups are small enough to broadcast: 4 MB
 BATCH_RECORDS = 500_000  # within which repeats are marked before the exchange
 PARSED = "group_id bigint, file_id bigint, line_no bigint, table_number bigint, image_number double, object_number double, c0 double, repeats boolean"
 
@@ -51,8 +52,8 @@ def longest_first(sizes: list[int], n_groups: int) -> list[int]:
     return out
 
 
-def assign_groups(files: DataFrame, target_bytes: int = 64 << 20, min_groups: int = 1, lane_files: int = 200_000) -> DataFrame:
-    """(file_id, n_bytes) → (file_id, group_id); lanes hold about ``lane_files`` files each."""
+def assign_groups(files: DataFrame, target_bytes: int = 64 << 20, min_groups: int = 1, lane_files: int = 200_000) -> tuple[DataFrame, int]:
+    """(file_id, n_bytes) → (file_id, group_id), and the number of files; lanes hold about ``lane_files`` files each."""
     total = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()
     lanes = max(1, -(-total["n"] // lane_files))
     per_lane = max(1, -(-max(-(-total["b"] // target_bytes), min_groups) // lanes))
@@ -63,7 +64,7 @@ def assign_groups(files: DataFrame, target_bytes: int = 64 << 20, min_groups: in
         return pd.DataFrame({"file_id": lane["file_id"], "group_id": np.asarray(group, dtype="int64") + int(key[0]) * per_lane})
 
     lane = F.pmod(F.xxhash64("file_id"), F.lit(lanes)).alias("lane")
-    return files.select("file_id", "n_bytes", lane).groupBy("lane").applyInPandas(pack, "file_id bigint, group_id bigint")
+    return files.select("file_id", "n_bytes", lane).groupBy("lane").applyInPandas(pack, "file_id bigint, group_id bigint"), total["n"]
 
 
 def _split(line: str) -> list[str]:
@@ -104,7 +105,7 @@ def parse_bodies(file_ids: pa.Array, tables: pa.Array, bodies: pa.Array, groups:
     rows = np.flatnonzero(~blank & (np.arange(len(lines)) > header[owner]) & (header[owner] >= 0))
     texts = lines.take(pa.array(rows))
     quoted = np.asarray(pc.match_substring(texts, '"'))
-    hard = np.flatnonzero(quoted & np.asarray(pc.match_substring_regex(texts, '"[^",]*,')))  # maybe a delimiter in quotes
+    hard = np.flatnonzero(quoted & np.asarray(pc.match_substring_regex(texts, '(^|,)"[^",]*,')))  # a delimiter in quotes
     easy = np.setdiff1d(np.arange(len(rows)), hard, assume_unique=True)
     fields = pc.split_pattern(pc.replace_substring(texts.take(pa.array(easy)), '"', ""), ",")
     flat, begin = fields.flatten(), fields.offsets.to_numpy().astype(np.int64)
@@ -145,8 +146,12 @@ def _mark_repeats(records: pa.Table) -> pa.Table:
     return records.append_column("repeats", pa.array(repeats))
 
 
-def parse_groups(files: DataFrame, assigned: DataFrame, n_partitions: int) -> DataFrame:
-    """Every record of the files, streamed group by group through pyarrow. Files without id are in group 0."""
+def parse_groups(files: DataFrame, assigned: DataFrame, n_partitions: int, few: bool = False) -> DataFrame:
+    """Every record of the files, streamed group by group through pyarrow. Files without id are in group 0.
+
+    If there are ``few`` files (at most FEW_FILES, 16 bytes each), their groups are broadcast and the bodies
+    move once, to their group; else bodies and groups first meet by file.
+    """
 
     def flush(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         if held:
@@ -164,9 +169,10 @@ def parse_groups(files: DataFrame, assigned: DataFrame, n_partitions: int) -> Da
                     held, rows = [], 0
         yield from flush(held)
 
+    placed = assigned.where(F.col("file_id").isNotNull())
     return (
         files.select("file_id", "table_number", "body")
-        .join(assigned.where(F.col("file_id").isNotNull()), "file_id", "left")
+        .join(F.broadcast(placed) if few else placed, "file_id", "left")
         .select("file_id", "table_number", "body", F.coalesce("group_id", F.lit(0)).alias("group_id"))
         .repartition(n_partitions, "group_id")
         .sortWithinPartitions("group_id", "file_id")
@@ -188,8 +194,8 @@ def mark_copies(records: DataFrame) -> DataFrame:
 def small_file_records(files: DataFrame, target_bytes: int = 64 << 20, min_groups: int | None = None) -> DataFrame:
     """All records of ``files`` (file_id, table_number, n_bytes, body) with output group and ``copy`` mark."""
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = assign_groups(files, target_bytes, min_groups or n)
-    return mark_copies(parse_groups(files, groups, n))
+    groups, n_files = assign_groups(files, target_bytes, min_groups or n)
+    return mark_copies(parse_groups(files, groups, n, n_files <= FEW_FILES))
 
 
 def dropped_records(records: DataFrame) -> DataFrame:

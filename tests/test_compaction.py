@@ -59,9 +59,10 @@ def test_odd_files(spark, rows):
     assert records.where("NOT copy").count() == len(seen)
 
 
-@pytest.mark.parametrize("batch", [1, 500_000])
-def test_whole_table(spark, rows, data, monkeypatch, batch):
+@pytest.mark.parametrize(("batch", "few"), [(1, 0), (500_000, 250_000)])
+def test_whole_table(spark, rows, data, monkeypatch, batch, few):
     monkeypatch.setattr(compaction, "BATCH_RECORDS", batch)
+    monkeypatch.setattr(compaction, "FEW_FILES", few)
     files = spark.read.parquet(f"{data}/nuclei_file.parquet").select("file_id", "table_number", "n_bytes", "body")
     dropped, _ = brute([tuple(r) for r in files.collect()])
     assert rows(compaction.dropped_records(compaction.small_file_records(files))) == dropped
@@ -89,7 +90,9 @@ def test_longest_first():
 
 def test_lanes_keep_groups_apart(spark):
     files = spark.createDataFrame([(i, 10) for i in range(100)], "file_id bigint, n_bytes bigint")
-    groups = compaction.assign_groups(files, target_bytes=100, lane_files=30).toPandas()
+    groups, n = compaction.assign_groups(files, target_bytes=100, lane_files=30)
+    assert n == 100
+    groups = groups.toPandas()
     assert sorted(groups["file_id"]) == list(range(100)) and groups["group_id"].nunique() >= 10
 
 
