@@ -56,9 +56,12 @@ def find_orphans(
     on: list[tuple[str, str]],
     time: str,
     match: str = "simple",
+    never_null: tuple[str, ...] = (),
 ) -> DataFrame:
     """The rows of ``children`` whose reference is broken, with ``state`` added.
 
+    ``never_null`` names columns of ``children`` that hold no nulls, so that no mask needs to tell them.
+
     ``parents`` is the result of :func:`parent_states`, ``on`` pairs child with parent columns.
     The one large shuffle carries narrow child rows by reference; a parent with very many children
     is split at run time by adaptive skew handling, as nothing after the join needs its partitioning.
@@ -66,9 +69,10 @@ def find_orphans(
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
     names = children.columns
-    masked = children.withColumns({"__mask": F.concat(*(F.when(F.col(c).isNull(), "0").otherwise("1") for c, _ in on))})
+    bit = lambda c: F.lit("1") if c in never_null else F.when(F.col(c).isNull(), "0").otherwise("1")
+    masked = children.withColumns({"__mask": F.concat(*(bit(c) for c, _ in on))})
     branches = []
-    for bits in product("01", repeat=len(on)):
+    for bits in product(*("1" if c in never_null else "01" for c, _ in on)):
         mask, used = "".join(bits), [pair for pair, bit in zip(on, bits) if bit == "1"]
         if not used or (match == "simple" and len(used) < len(on)):
             continue
@@ -104,20 +108,24 @@ def profile_orphans(image: DataFrame, nuclei: DataFrame, ph3: DataFrame) -> Data
     and as parent.
     """
     image_key, object_key = ["TableNumber", "ImageNumber"], ["TableNumber", "ImageNumber", "ObjectNumber"]
+    keyed = "TableNumber IS NOT NULL AND ImageNumber IS NOT NULL"  # under simple match all others refer to nothing
     images = parent_states(image, image_key, "loaded_at", "removed_at")
-    objects = parent_states(nuclei, object_key, "loaded_at", "removed_at")
-    marks = earliest_children(ph3, object_key, ["Parent_Nuclei"], "loaded_at")
+    # Both uses of nuclei and both of ph3 have the same filters, so each is read, reduced and exchanged once. Nuclei
+    # without object number are children only; where there are none, the files' statistics tell so.
+    objects = parent_states(nuclei.where(f"{keyed} AND ObjectNumber IS NOT NULL"), object_key, "loaded_at", "removed_at")
+    nameless = parent_states(nuclei.where(f"{keyed} AND ObjectNumber IS NULL"), object_key, "loaded_at", "removed_at")
+    marks = earliest_children(ph3.where(keyed), object_key, ["Parent_Nuclei"], "loaded_at")
 
     shape = [F.col("TableNumber").alias("t"), F.col("ImageNumber").alias("i"), F.col("ObjectNumber").alias("o")]
     from_ph3 = marks.select(F.lit("ph3").alias("child_name"), *shape, F.col("loaded_at").alias("at"))
-    from_nuclei = objects.where("is_live").select(F.lit("nuclei").alias("child_name"), *shape, F.col("live_from").alias("at"))
+    from_nuclei = [df.where("is_live").select(F.lit("nuclei").alias("child_name"), *shape, F.col("live_from").alias("at")) for df in (objects, nameless)]
     to_image = find_orphans(
-        from_ph3.unionByName(from_nuclei), images, [("t", "TableNumber"), ("i", "ImageNumber")], "at"
+        from_ph3.unionByName(from_nuclei[0]).unionByName(from_nuclei[1]), images, [("t", "TableNumber"), ("i", "ImageNumber")], "at", never_null=("t", "i")
     ).withColumn("parent_name", F.lit("image"))
 
     refs = marks.select(F.lit("ph3").alias("child_name"), *shape, F.col("loaded_at").alias("at"), F.when(F.col("Parent_Nuclei") != 0, F.col("Parent_Nuclei")).alias("ref"))
     to_nuclei = find_orphans(
-        refs, objects, [("t", "TableNumber"), ("i", "ImageNumber"), ("ref", "ObjectNumber")], "at"
+        refs, objects, [("t", "TableNumber"), ("i", "ImageNumber"), ("ref", "ObjectNumber")], "at", never_null=("t", "i")
     ).drop("ref").withColumn("parent_name", F.lit("nuclei"))
 
     return to_image.unionByName(to_nuclei).select(
