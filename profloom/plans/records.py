@@ -99,6 +99,51 @@ records AS (
   FROM filled JOIN heads USING (file_id) WHERE line_no > head_no AND len(f) >= len(h))
 """
 
+_P4 = r"""
+WITH RECURSIVE f AS (
+  SELECT file_id, series_id, row_number() OVER (PARTITION BY series_id ORDER BY exported_at, file_id) AS n,
+    string_split(regexp_replace(regexp_replace(coalesce(body, ''), '^\x{FEFF}', ''), '\r\n?', chr(10), 'g'), chr(10)) AS lines
+  FROM image_file),
+l AS (SELECT file_id, series_id, n, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM f),
+c AS (
+  SELECT file_id, series_id, n, k, list_transform(regexp_extract_all(',' || line, ',("([^"]|"")*"|[^",]*)', 1),
+    lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS v
+  FROM l WHERE line <> ''),
+h AS (SELECT file_id, min(k) AS head, arg_min(v, k) AS names FROM c GROUP BY file_id),
+fields AS (SELECT DISTINCT file_id, series_id, n, unnest(names) AS field FROM f JOIN h USING (file_id)),
+raw_cells AS (
+  SELECT c.file_id, series_id, n, unnest(names) AS field, unnest(list_resize(v, len(names))) AS x, v[list_position(names, 'ImageNumber')] AS image
+  FROM c JOIN h USING (file_id) WHERE k > head),
+cells AS (
+  SELECT *, CASE WHEN trim(coalesce(x, '')) = '' THEN 0 WHEN regexp_full_match(x, '-?[0-9]+') THEN 1
+      WHEN regexp_full_match(x, '-?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[nN][aA][nN]') THEN 2 ELSE 3 END AS kind
+  FROM raw_cells),
+kinds AS (SELECT fields.*, coalesce(max(kind), 0) AS kind FROM fields LEFT JOIN cells USING (file_id, series_id, n, field) GROUP BY ALL),
+texts AS (
+  SELECT series_id, n, field, image, any_value(CASE WHEN kind = 0 THEN '' WHEN kind < 3 THEN 'n' || CAST(x AS DOUBLE) ELSE 't' || x END) AS text
+  FROM cells GROUP BY ALL),
+came AS (SELECT a.file_id, a.series_id, a.n, a.field FROM fields a WHERE n > 1 AND NOT EXISTS (SELECT 1 FROM fields b WHERE b.series_id = a.series_id AND b.n = a.n - 1 AND b.field = a.field)),
+gone AS (SELECT a.file_id, a.series_id, a.n, b.field FROM f a JOIN fields b ON b.series_id = a.series_id AND b.n = a.n - 1
+  WHERE NOT EXISTS (SELECT 1 FROM fields d WHERE d.series_id = a.series_id AND d.n = a.n AND d.field = b.field)),
+renames AS (
+  SELECT came.file_id, came.series_id, came.n, came.field AS new, gone.field AS old
+  FROM came JOIN gone USING (file_id, series_id, n)
+  JOIN texts x ON x.series_id = came.series_id AND x.n = came.n AND x.field = came.field
+  JOIN texts y ON y.series_id = came.series_id AND y.n = came.n - 1 AND y.field = gone.field AND y.image = x.image
+  GROUP BY ALL HAVING bool_and(x.text = y.text) AND bool_or(x.text <> '')),
+links AS (
+  SELECT k.*, coalesce(r.old, CASE WHEN k.n > 1 AND came.field IS NULL THEN k.field END) AS before
+  FROM kinds k LEFT JOIN renames r ON r.file_id = k.file_id AND r.new = k.field LEFT JOIN came ON came.file_id = k.file_id AND came.field = k.field),
+walk(file_id, series_id, n, field, kind, known, retyped) AS (
+  SELECT file_id, series_id, n, field, kind, kind, false FROM links WHERE before IS NULL
+  UNION ALL
+  SELECT a.file_id, a.series_id, a.n, a.field, a.kind, CASE WHEN a.kind > 0 THEN a.kind ELSE w.known END, a.kind > 0 AND w.known > 0 AND a.kind <> w.known
+  FROM walk w JOIN links a ON a.series_id = w.series_id AND a.n = w.n + 1 AND a.before = w.field)
+SELECT file_id, new AS field_name, 'renamed' AS change FROM renames
+UNION ALL SELECT file_id, field, 'added' FROM came WHERE (file_id, field) NOT IN (SELECT (file_id, new) FROM renames)
+UNION ALL SELECT file_id, field, 'removed' FROM gone WHERE (file_id, field) NOT IN (SELECT (file_id, old) FROM renames)
+UNION ALL SELECT file_id, field, 'retyped' FROM walk WHERE retyped"""
+
 _FIELD = r'("([^"]|"")*"|[^",\r\n]*)'
 
 _P5 = rf"""
@@ -132,6 +177,7 @@ SQL: dict[str, str] = {
     "p1_report": _P1 + "SELECT child_name, parent_name, state, period, count(*) AS n_orphans FROM found WHERE state IS NOT NULL GROUP BY ALL",
     "p2_found": _P2 + "SELECT file_id, line_no FROM records QUALIFY row_number() OVER (PARTITION BY table_number, i, o, c ORDER BY file_id, line_no) > 1",
     "p2_compact": _P2 + "SELECT DISTINCT table_number, i AS image_number, o AS object_number, c AS c0 FROM records",
+    "p4_found": _P4,
     "p5_found": _P5 + "SELECT raw_id, reason FROM reasons WHERE reason IS NOT NULL",
     "p5_image": _P5 + """
 SELECT raw_id, CAST(nullif(f[1], '') AS BIGINT) AS ImageNumber, nullif(f[2], '') AS Metadata_Plate, nullif(f[3], '') AS Metadata_Well,
