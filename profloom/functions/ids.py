@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -59,7 +58,7 @@ def json_text(text: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _float_text(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: None if pd.isna(x) else repr(float(x)), na_action="ignore")
+    return pd.Series([None if pd.isna(x) else repr(float(x)) for x in values], dtype=object)
 
 
 def json_value(df: DataFrame, name: str) -> Column:
@@ -190,11 +189,19 @@ def looks_like_image(value: str) -> bool:
 
 
 def image_columns(df: DataFrame, sample: int = 5) -> list[str]:
-    """Text columns of which one of the first values names an image file; one pass, nothing else is read."""
+    """Text columns of which one of the first ``sample`` values that aren't null names an image file.
+
+    A sampling operator: it reads the first rows, and further ones only of columns that are null there.
+    """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not texts:
         return []
-    rows = df.select(*(F.col(f"`{n}`") for n in texts)).agg(
-        *(F.slice(F.array_distinct(F.collect_set(F.when(F.lower(F.col(f"`{n}`")).rlike("(" + "|".join(map(re.escape, IMAGE_SUFFIXES)) + ")$"), F.lit(1)))), 1, sample).alias(str(i)) for i, n in enumerate(texts))
-    ).first()
-    return [n for i, n in enumerate(texts) if rows[str(i)]]
+    first = df.select(*(F.col(f"`{n}`") for n in texts)).take(20 * sample)
+    out = []
+    for i, n in enumerate(texts):
+        values = [r[i] for r in first if r[i] is not None][:sample]
+        if len(values) < sample and len(first) == 20 * sample:
+            values = [r[0] for r in df.where(F.col(f"`{n}`").isNotNull()).select(F.col(f"`{n}`")).take(sample)]
+        if any(looks_like_image(v) for v in values):
+            out.append(n)
+    return out

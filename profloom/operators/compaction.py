@@ -12,7 +12,8 @@
 Defined cases: the header is the first line that isn't blank; a line with fewer fields than it is no
 record, nor is a blank line; a null or empty body has no records; a byte-order mark is dropped; null,
 blank and unreadable numbers are null, which equals null, and NaN equals NaN; of repeated records the
-one of smallest (file_id, line_no) stays; a null file_id comes before all others.
+one of smallest (file_id, line_no) stays; a null file_id comes before all others; rows of one file_id
+are files of their own, of which one keeps its records and the others' count as repeats.
 """
 
 from __future__ import annotations
@@ -169,7 +170,7 @@ def parse_groups(files: DataFrame, assigned: DataFrame, n_partitions: int, few:
                     held, rows = [], 0
         yield from flush(held)
 
-    placed = assigned.where(F.col("file_id").isNotNull())
+    placed = assigned.where(F.col("file_id").isNotNull()).dropDuplicates(["file_id"])
     return (
         files.select("file_id", "table_number", "body")
         .join(F.broadcast(placed) if few else placed, "file_id", "left")

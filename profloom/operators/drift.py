@@ -12,7 +12,8 @@ runs again from its known start.
 Defined cases: empty bodies have no fields; a byte-order mark is dropped; of fields named twice in a
 header the first counts; cells missing from a short line are blank, surplus cells are ignored; blank
 is empty or white space; of several lines of one image the first counts; null bodies are empty;
-files of a null series form one series, null times come first, ties follow file_id.
+files of a null series form one series, null times come first, ties follow file_id; a row that
+occurs again is a file of its own, without changes.
 """
 
 from __future__ import annotations
@@ -137,8 +138,8 @@ class _Unknown(dict):
 
 def digest_files(files: DataFrame) -> DataFrame:
     """(seq, series_id, file_id, digest) of every file, each compared with the file before it in its series."""
-    order = global_sequence(files.select("series_id", "exported_at", "file_id"), ["series_id", "exported_at", "file_id"])
-    placed = order.select("seq", "series_id", "file_id").join(files.select(F.col("file_id").alias("f"), "body"), F.col("file_id").eqNullSafe(F.col("f"))).drop("f")
+    order = ["series_id", "exported_at", "file_id"]
+    placed = global_sequence(files.select(*order, "body"), order).select("seq", "series_id", "file_id", "body")
     before = placed.select((F.col("seq") + 1).alias("seq"), F.col("series_id").alias("series_before"), F.col("body").alias("body_before"), F.lit(True).alias("any_before"))
     pairs = placed.join(before, "seq", "left").select(
         "seq", "series_id", "file_id", "body",

@@ -51,15 +51,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def global_sequence(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
     """Number the rows 0, 1, 2, … by ``order`` without one task ever seeing a whole group.
 
-    Rows are range-partitioned and sorted, the sorted rows are written to the shared folder (so that
-    range bounds cannot differ between the two passes), and each partition's start is the sum of the
+    Rows are range-partitioned and sorted, the sorted rows are written to the shared folder as a table (so
+    that range bounds cannot differ between the two passes), and each partition's start is the sum of the
     counts before it. Only one row per partition reaches the driver. ``order`` should end in a unique
     column; rows equal in all of ``order`` get their numbers in any order. Nulls come first.
     """
     spark = df.sparkSession
     n = shuffle_partitions(spark)
-    ordered = cut_lineage(
-        df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__mid", F.monotonically_increasing_id())
+    ordered = materialize(
+        df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__mid", F.monotonically_increasing_id()), "ordered"
     )
     part = F.shiftright("__mid", 33).alias("__part")
     counts = sorted((r["__part"], r["n"]) for r in ordered.groupBy(part).agg(F.count("*").alias("n")).collect())

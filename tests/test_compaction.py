@@ -72,6 +72,13 @@ def test_empty_table(spark, rows):
     assert rows(compaction.dropped_records(compaction.small_file_records(frame(spark, [])))) == []
 
 
+@pytest.mark.parametrize("few", [0, 250_000])
+def test_rows_of_one_file_id(spark, rows, monkeypatch, few):
+    monkeypatch.setattr(compaction, "FEW_FILES", few)
+    records = compaction.small_file_records(frame(spark, [(1, 1, 9, f"{HEAD}\n1,1,1,1,1")] * 3))
+    assert records.count() == 3 and rows(compaction.dropped_records(records)) == [(1, 2), (1, 2)]
+
+
 def test_one_record_a_third_of_all(spark):
     files = [(i, 1, 60, f"{HEAD}\n1,1,1,1,1\n{i},2,1,1,1\n{i},3,1,1,1") for i in range(300)]
     records = compaction.small_file_records(frame(spark, files))

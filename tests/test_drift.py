@@ -51,6 +51,11 @@ def test_odd_bodies(spark, rows):
     assert got == [(3, "A", "added"), (3, "ImageNumber", "added"), (6, "B", "added"), (6, "Image", "added"), (6, "ImageNumber", "removed")]
 
 
+def test_repeated_rows_and_null_ids(spark, rows):
+    twice = [(1, 1, T(1), "ImageNumber,A\n1,1\n")] * 2 + [(None, 1, T(2), "ImageNumber,A\n1,x\n")] * 3
+    assert changes(spark, rows, twice, 2) == [(None, "A", "retyped")]
+
+
 def test_no_files(spark, rows):
     assert changes(spark, rows, []) == []
     table = drift.consistent_table(spark.createDataFrame([], SCHEMA))
