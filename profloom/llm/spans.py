@@ -20,7 +20,8 @@ which every task sends at most one per record and window. No task holds a crowd,
 
 Defined cases: null, empty and short texts share nothing; a text repeated within one record only is
 not shared; equal records share all of their text if it is long enough; a null key is a record of its
-own, distinct from every other key (at most one row may have it); offsets are code points.
+own, distinct from every other key; rows of one key are one record with several texts, whose stretches
+are reported together; the key is an integer; offsets are code points.
 """
 
 from __future__ import annotations
@@ -355,6 +356,10 @@ def _cut_spans(open_blocks: DataFrame, documents: DataFrame, length: int) -> Dat
                 texts = part["text"].to_pylist()
                 first, count = flat["first"].to_numpy(), flat["count"].to_numpy()
                 spans = [texts[o][a : a + n - 1 + length] for o, a, n in zip(owner.tolist(), first.tolist(), count.tolist())]
+                # of rows of one key, the others' texts may end before a block does
+                whole = np.flatnonzero(np.array([len(s) for s in spans], np.int64) == count + (length - 1))
+                if len(whole) < len(spans):
+                    flat, owner, spans = flat.take(pa.array(whole)), owner[whole], [spans[i] for i in whole]
                 columns = [*(flat[c] for c in ("least", "salt", "hot")), part["doc"].take(pa.array(owner)), *(flat[c] for c in ("first", "count", "many")), pa.array(spans, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["least", "salt", "hot", "doc", "first", "count", "many", "span"])
 

@@ -58,6 +58,14 @@ def test_defined_cases(spark):
         run(spark, [], gram=500)
 
 
+def test_rows_of_one_key_are_one_record(spark):
+    random.seed(9)
+    a, b = ("".join(random.choice("abcdefgh") for _ in range(260)) for _ in range(2))
+    assert run(spark, [(1, a), (1, a)]) == []
+    assert run(spark, [(1, a), (1, a), (2, "x" + a)]) == [(1, 0, 260), (2, 1, 261)]
+    assert run(spark, [(1, a + b), (1, "short"), (2, "x" + a[:230] + "y"), (3, a[10:])])[0] == (1, 0, 260)
+
+
 def test_stretches_that_touch_are_one(spark):
     random.seed(3)
     a, b = ("".join(random.choice("abcdefgh") for _ in range(200)) for _ in range(2))
