@@ -40,6 +40,11 @@ def prefixed_names(names: Iterable[str], group: str, identifying: Sequence[str],
     return [n if stem is None else prefixed_name(n, stem, identifying, metadata) for n in names]
 
 
+def quoted(name: str) -> str:
+    """A column's name in SQL text. Wide projections are written as SQL: one call for each column, not one for each step."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def column_rank(name: str) -> int:
     low = name.lower()
     if low in EXACT_ORDER:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profloom.errors import DatatypeException
+from profloom.functions.naming import quoted
 
 # The names that a type may be asked for by.
 CAST_NAMES: dict[str, tuple[str, ...]] = {
@@ -51,7 +52,8 @@ def is_numeric(kind: T.DataType) -> bool:
 def split_numeric(schema: T.StructType) -> tuple[list[str], list[str]]:
     """Names of the numeric fields (integers, floats, decimals) and of all others."""
     numeric = [f.name for f in schema.fields if is_numeric(f.dataType)]
-    return numeric, [f.name for f in schema.fields if f.name not in set(numeric)]
+    known = set(numeric)
+    return numeric, [n for n in schema.names if n not in known]
 
 
 def promoted(base: T.DataType, other: T.DataType) -> T.DataType:
@@ -67,13 +69,14 @@ def promoted(base: T.DataType, other: T.DataType) -> T.DataType:
 
 def common_schema(schemas: Sequence[T.StructType], casts: Mapping[str, str] | None = None) -> tuple[T.StructType, list[str]]:
     """The fields that all schemas have, in the first one's order, and the names of those dropped."""
-    first, rest = schemas[0], schemas[1:]
-    fields, dropped = [], {n for s in rest for n in s.names if n not in first.names}
+    first, rest = schemas[0], [{f.name: f.dataType for f in s.fields} for s in schemas[1:]]
+    known = set(first.names)
+    fields, dropped = [], {n for s in rest for n in s if n not in known}
     for f in first.fields:
-        if all(f.name in s.names for s in rest):
+        if all(f.name in s for s in rest):
             kind = f.dataType
             for s in rest:
-                kind = promoted(kind, s[f.name].dataType)
+                kind = promoted(kind, s[f.name])
             fields.append(T.StructField(f.name, harmonized(kind, casts)))
         else:
             dropped.add(f.name)
@@ -82,18 +85,25 @@ def common_schema(schemas: Sequence[T.StructType], casts: Mapping[str, str] | No
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` under ``schema``: one projection; texts that aren't of a field's type become null."""
-    out = []
+    out, kinds = [], {f.name: f.dataType for f in df.schema.fields}
     for f in schema.fields:
-        c, have = F.col(f"`{f.name}`"), df.schema[f.name].dataType
-        lossy = isinstance(have, T.StringType) and not isinstance(f.dataType, T.StringType)
+        name, have = quoted(f.name), kinds[f.name]
         if have == f.dataType:
-            value = c
+            out.append(name)
         elif isinstance(f.dataType, T.NullType):
-            value = F.lit(None)
+            out.append(f"NULL AS {name}")
         else:
-            value = c.try_cast(f.dataType) if lossy else c.cast(f.dataType)
-        out.append(value.alias(f.name))
-    return df.select(*out)
+            lossy = isinstance(have, T.StringType) and not isinstance(f.dataType, T.StringType)
+            out.append(f"{'try_cast' if lossy else 'cast'}({name} AS {_sql_type(f.dataType)}) AS {name}")
+    return df.selectExpr(*out)
+
+
+def _sql_type(kind: T.DataType) -> str:
+    if isinstance(kind, T.ArrayType):
+        return f"ARRAY<{_sql_type(kind.elementType)}>"
+    if isinstance(kind, T.StructType):
+        return f"STRUCT<{', '.join(f'{quoted(f.name)}: {_sql_type(f.dataType)}' for f in kind.fields)}>"
+    return kind.simpleString()
 
 
 def cast_types(df: DataFrame, casts: Mapping[str, str] | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from profloom.functions.naming import quoted
+
 
 def fold_pages(counts: Iterable[tuple[object, int]], size: int) -> Iterator[tuple[object, int, bool]]:
     """(key, page, whether the page begins here) of sorted (key, count): a page ends with the key that fills it."""
@@ -102,8 +104,11 @@ def sorted_by(df: DataFrame, *keys: str) -> DataFrame:
 
 def drop_null_rows(df: DataFrame) -> DataFrame:
     """Rows without any null; NaN stays."""
-    keep = None
-    for n in df.columns:
-        c = F.col(f"`{n}`").isNotNull()
-        keep = c if keep is None else keep & c
-    return df if keep is None else df.where(keep)
+
+    def all_of(names: list[str]) -> str:  # halves, as a chain of thousands would be too deep for the parser
+        if len(names) == 1:
+            return f"{quoted(names[0])} IS NOT NULL"
+        half = len(names) // 2
+        return f"({all_of(names[:half])} AND {all_of(names[half:])})"
+
+    return df.where(all_of(df.columns)) if df.columns else df

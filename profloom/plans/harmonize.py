@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profloom.errors import ProfileException, SchemaException
-from profloom.functions.naming import last_occurrences, ordered_columns, prefixed_names
+from profloom.functions.naming import last_occurrences, ordered_columns, prefixed_names, quoted
 from profloom.functions.types import cast_types, common_schema, conform
 from profloom.operators.pages import drop_null_rows, sorted_by
 from profloom.plans.dialect import run_join_sql
@@ -108,8 +108,9 @@ def join_profiles(spark: SparkSession, profiles: ProfileSet, config: Preset) ->
     else:
         raise ProfileException("there is nothing to join by; give joins or use join=False")
     keep = last_occurrences(df.columns)
-    df = df.toDF(*(str(i) for i in range(len(df.columns)))).select(*(F.col(str(i)).alias(n) for i, n in ((i, df.columns[i]) for i in keep)))
-    return df.select(*(F.col(f"`{n}`") for n in ordered_columns(df.columns)))
+    names = {df.columns[i]: f"`{i}`" for i in keep}
+    held = df.toDF(*(str(i) for i in range(len(df.columns))))
+    return held.selectExpr(*(f"{names[n]} AS {quoted(n)}" for n in ordered_columns(names)))
 
 
 def joined(spark: SparkSession, source_path: str, config: Preset, *, datatype: str | None = None, casts: Casts = None, add_tablenumber: bool | None = None, infer: bool = True, drop_null: bool = False) -> DataFrame:
@@ -120,7 +121,8 @@ def joined(spark: SparkSession, source_path: str, config: Preset, *, datatype: s
 
 def storable(df: DataFrame) -> DataFrame:
     """Columns that were blank in all files become text, so that any reader takes them."""
-    return df.select(*(F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`") for f in df.schema.fields))
+    void = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
+    return df.withColumns({n: F.lit(None).cast("string") for n in void}) if void else df
 
 
 def convert(

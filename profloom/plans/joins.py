@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profloom.errors import SchemaException
-from profloom.functions.naming import distinct_names
+from profloom.functions.naming import distinct_names, quoted
 
 
 @dataclass(frozen=True)
@@ -56,10 +56,13 @@ class _Side:
         self.place = {n: f"{role}__{i}" for i, n in enumerate(df.columns)}
         self.df = df.toDF(*(self.place[n] for n in df.columns))
 
-    def col(self, name: str) -> Column:
+    def held(self, name: str) -> str:
         if name not in self.place:
             raise SchemaException(f"column {name} is missing; there are {', '.join(self.names[:20])}")
-        return F.col(self.place[name])
+        return self.place[name]
+
+    def col(self, name: str) -> Column:
+        return F.col(self.held(name))
 
 
 def join_compartments(tables: Mapping[str, DataFrame], spec: JoinSpec) -> DataFrame:
@@ -84,10 +87,10 @@ def join_compartments(tables: Mapping[str, DataFrame], spec: JoinSpec) -> DataFr
     # the image table has one row per image; if it is small enough AQE broadcasts it, else it is sorted and merged
     out = out.join(image.df, condition, "left")
 
-    chosen: list[tuple[str, Column]] = [(n, image.col(n)) for n in spec.image_select]
+    chosen = [(n, image.held(n)) for n in spec.image_select]
     if spec.image_pattern:
-        chosen += [(n, image.col(n)) for n in matching_columns(image.names, spec.image_pattern)]
+        chosen += [(n, image.held(n)) for n in matching_columns(image.names, spec.image_pattern)]
     for role in (spec.anchor, *spec.match):
-        chosen += [(n, sides[role].col(n)) for n in except_columns(sides[role].names, spec.without)]
+        chosen += [(n, sides[role].held(n)) for n in except_columns(sides[role].names, spec.without)]
     names = distinct_names(n for n, _ in chosen)
-    return out.select(*(c.alias(n) for n, (_, c) in zip(names, chosen)))
+    return out.selectExpr(*(f"{held} AS {quoted(n)}" for n, (_, held) in zip(names, chosen)))

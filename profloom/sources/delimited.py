@@ -13,12 +13,12 @@ from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profloom.errors import NoInputDataException
-from profloom.functions.naming import distinct_names
+from profloom.functions.naming import distinct_names, quoted
 from profloom.functions.types import common_schema, conform
 from profloom.sources.discovery import Source
 
@@ -96,16 +96,9 @@ def scan_files(spark: SparkSession, paths: Sequence[str], names: Sequence[str],
         place = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
         raw = raw.select("*", place.alias("__path")).join(numbers.withColumnRenamed("path", "__path"), "__path", "left")
         schema = T.StructType([T.StructField("TableNumber", T.LongType()), *(f for f in schema.fields if f.name != "TableNumber")])
-    raw = raw.select(*(F.col(f"`{n}`") for n in schema.names))
-    nan = lambda c: F.when(F.lower(c).isin("nan", "+nan", "-nan"), F.lit("NaN")).when(F.lower(c).isin("inf", "+inf"), F.lit("Infinity")).when(F.lower(c) == "-inf", F.lit("-Infinity")).otherwise(c)
-
-    def clean(f: T.StructField) -> Column:
-        c = F.col(f"`{f.name}`")
-        if not isinstance(raw.schema[f.name].dataType, T.StringType):
-            return c
-        return nan(c) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.nullif(c, F.lit(""))
-
-    cleaned = raw.select(*(clean(f).alias(f.name) for f in schema.fields))
+    # blank texts are null; blank numbers are when they are cast, and `nan` and `inf` are numbers to the cast
+    texts = {f.name for f in schema.fields if isinstance(f.dataType, T.StringType)}
+    cleaned = raw.selectExpr(*(f"nullif({quoted(n)}, '') AS {quoted(n)}" if n in texts else quoted(n) for n in schema.names))
     return conform(cleaned, schema)
 
 

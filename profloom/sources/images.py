@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,22 +140,56 @@ def resolve_or_fail(values: DataFrame, column: str, index: DataFrame) -> DataFra
     return found.select(column, F.when(F.col("n") > 1, problem).otherwise(F.col("path")).alias("path"))
 
 
-def match_segmentation(value: str, candidate: str, names: Sequence[str], patterns: Mapping[str, str]) -> str | None:
-    """The mask or outline file that belongs to an image.
+def _first_containing(parts: Sequence[str], stems: Sequence[str]) -> dict[str, int]:
+    """Of each part the place of the first stem that contains it: one walk over the stems for all parts."""
+    found: dict[str, int] = {}
+    if not parts:
+        return found
+    try:
+        import ahocorasick
+    except ImportError:
+        for p in parts:
+            at = next((i for i, s in enumerate(stems) if p in s), None)
+            if at is not None:
+                found[p] = at
+        return found
+    automaton = ahocorasick.Automaton()
+    for p in parts:
+        automaton.add_word(p, p)
+    automaton.make_automaton()
+    for i, s in enumerate(stems):
+        for _, p in automaton.iter(s):
+            found.setdefault(p, i)
+    return found
+
+
+def match_segmentations(values: Sequence[str], candidates: Sequence[str], names: Sequence[str], patterns: Mapping[str, str]) -> list[str | None]:
+    """The mask or outline file that belongs to each image.
 
     Of each pair (pattern of segmentation files, pattern of images) whose image pattern is found in
-    ``value``, the first file by name fits that matches the file pattern and contains, without regard to case, one of
-    the image's identifiers: the pattern's groups, the value's stem, the candidate's stem.
+    a value, the first file by name fits that matches the file pattern and contains, without regard to case, one of
+    the image's identifiers: the pattern's groups, the value's stem, the candidate's stem. All values of a call are
+    looked up in one walk over the files.
     """
+    out: list[str | None] = [None] * len(values)
     for of_file, of_image in patterns.items():
-        hit = re.search(of_image, value)
-        if hit is None:
-            continue
-        identifiers = {g.strip().lower() for g in hit.groups() if g and g.strip()} | {file_stem(value).lower(), file_stem(candidate).lower()}
-        for n in sorted(names, key=lambda n: n.rpartition("/")[2]):
-            if re.search(of_file, n.rpartition("/")[2]) and any(i and i in file_stem(n).lower() for i in identifiers):
-                return n
-    return None
+        files = sorted((n for n in names if re.search(of_file, n.rpartition("/")[2])), key=lambda n: n.rpartition("/")[2])
+        wanted: dict[int, set[str]] = {}
+        for i, (v, c) in enumerate(zip(values, candidates)):
+            hit = re.search(of_image, v) if out[i] is None else None
+            if hit is not None:
+                groups = {g.strip().lower() for g in hit.groups() if g and g.strip()}
+                wanted[i] = {x for x in groups | {file_stem(v).lower(), file_stem(c).lower()} if x}
+        first = _first_containing(sorted(set().union(*wanted.values())) if wanted else [], [file_stem(n).lower() for n in files])
+        for i, parts in wanted.items():
+            places = [first[p] for p in parts if p in first]
+            if places:
+                out[i] = files[min(places)]
+    return out
+
+
+def match_segmentation(value: str, candidate: str, names: Sequence[str], patterns: Mapping[str, str]) -> str | None:
+    return match_segmentations([value], [candidate], names, patterns)[0]
 
 
 def segmentation_paths(images: DataFrame, value: str, candidate: str, names: Sequence[str], patterns: Mapping[str, str] | None, index: DataFrame) -> DataFrame:
@@ -165,8 +200,8 @@ def segmentation_paths(images: DataFrame, value: str, candidate: str, names: Seq
 
     def run(frames):  # noqa: ANN001, ANN202
         for f in frames:
-            found = [match_segmentation(v, c or v, shared, patterns) for v, c in zip(f[value], f[candidate])]
-            yield f.assign(path=found)[[value, "path"]]
+            found = match_segmentations(f[value].tolist(), [c or v for v, c in zip(f[value], f[candidate])], shared, patterns)
+            yield f.assign(path=pd.Series(found, index=f.index, dtype=object))[[value, "path"]]
 
     pairs = images.select(value, candidate).where(F.col(value).isNotNull()).distinct()
     return pairs.mapInPandas(run, T.StructType([pairs.schema[value], T.StructField("path", T.StringType())])).where("path IS NOT NULL")

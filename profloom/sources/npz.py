@@ -13,10 +13,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profloom.errors import SchemaException
+from profloom.functions.naming import quoted
 from profloom.sources.discovery import Source
 
 DEFAULT_PREFIX = "DP"
@@ -81,14 +81,13 @@ def read_npz(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     return rows.withMetadata("features", {"prefix": prefix, "width": width})
 
 
-def spread_features(df: DataFrame) -> DataFrame:
-    """The array column ``features`` as columns ``{prefix}_1`` …, in one projection."""
-    about = df.schema["features"].metadata
-    rest = [F.col(f"`{n}`") for n in df.columns if n != "features"]
-    return df.select(*rest, *(F.get("features", F.lit(i)).alias(f"{about['prefix']}_{i + 1}") for i in range(about["width"])))
+def array_columns(df: DataFrame, array: str, prefix: str, width: int) -> DataFrame:
+    """An array column as ``width`` columns, in one projection; missing elements are null."""
+    rest = [quoted(n) for n in df.columns if n != array]
+    return df.selectExpr(*rest, *(f"get({quoted(array)}, {i}) AS {quoted(f'{prefix}_{i + 1}')}" for i in range(width)))
 
 
-def array_columns(df: DataFrame, array: str, prefix: str, width: int) -> DataFrame:
-    """An array column as ``width`` columns; missing elements are null."""
-    rest = [F.col(f"`{n}`") for n in df.columns if n != array]
-    return df.select(*rest, *(F.get(array, F.lit(i)).alias(f"{prefix}_{i + 1}") for i in range(width)))
+def spread_features(df: DataFrame) -> DataFrame:
+    """The array column ``features`` as columns ``{prefix}_1`` …"""
+    about = df.schema["features"].metadata
+    return array_columns(df, "features", about["prefix"], about["width"])
