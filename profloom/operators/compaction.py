@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from profloom.runtime import slices
+
 RECORD = ("ImageNumber", "ObjectNumber", "c0")
 KEY = ("table_number", "image_number", "object_number", "c0")
 FEW_FILES = 250_000  # whose groups are small enough to broadcast: 4 MB
@@ -161,8 +163,7 @@ def parse_groups(files: DataFrame, assigned: DataFrame, n_partitions: int, few:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for part in slices(batch, 2048):
                 held.append(parse_bodies(*(part.column(i) for i in range(4))))
                 rows += held[-1].num_rows
                 if rows >= BATCH_RECORDS:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profloom.runtime import cut_lineage, global_sequence
+from profloom.runtime import cut_lineage, global_sequence, slices
 
 KEY_FIELD = "ImageNumber"
 KINDS = ("none", "whole", "number", "text")  # the lattice, a chain
@@ -148,8 +148,7 @@ def digest_files(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                p = batch.slice(at, 256)
+            for p in slices(batch, 256):
                 digests = [json.dumps(compare(b, o, not h)) for b, h, o in zip(p["body"].to_pylist(), p["has_before"].to_pylist(), p["body_before"].to_pylist())]
                 yield pa.RecordBatch.from_arrays([p["seq"], p["series_id"], p["file_id"], pa.array(digests, pa.string())], names=["seq", "series_id", "file_id", "digest"])
 
@@ -231,8 +230,7 @@ def consistent_table(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                p = batch.slice(at, 256)
+            for p in slices(batch, 256):
                 ids: list = []
                 cells: list[list] = [[] for _ in names]
                 for file_id, body in zip(p["file_id"].to_pylist(), p["body"].to_pylist()):

@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from profloom.runtime import slices
+
 # The forms that a field's value can have.
 WHOLE = r"^-?[0-9]+$"
 NUMBER = r"^(-?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[nN][aA][nN])$"
@@ -73,14 +75,14 @@ def structural_index(records: pa.Array) -> Structure:
     np.add.at(inside, start, 1)
     np.add.at(inside, end, -1)
     inside = np.cumsum(inside[:size]) > 0
-    record = np.repeat(np.arange(n), np.diff(offsets))
+    record = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     is_start = np.zeros(size + 1, bool)
     is_start[start[end > start]] = True
     is_end = np.zeros(size + 1, bool)  # at the first byte behind a record
     is_end[end] = True
 
     quote = (data == 34) & inside
-    before = np.zeros(size + 1, np.int64)
+    before = np.zeros(size + 1, np.int32 if size < 1 << 31 else np.int64)
     np.cumsum(quote, out=before[1:])
     odd = ((before[:-1] - before[start][record]) & 1).astype(bool) if size else np.zeros(0, bool)
     comma = (data == 44) & inside & ~odd
@@ -104,7 +106,7 @@ def structural_index(records: pa.Array) -> Structure:
     # what stays of each field: all but delimiters and the quotes that enclose; of a doubled quote the second
     doubled = opening & prev_quote & ~field_start
     keep = inside & ~comma & ~(quote & ~doubled)
-    kept = np.zeros(size + 1, np.int64)
+    kept = np.zeros(size + 1, before.dtype)
     np.cumsum(keep, out=kept[1:])
     count = np.bincount(record[comma], minlength=n) + 1 if n else np.zeros(0, np.int64)
     first = np.zeros(n + 1, np.int64)
@@ -201,8 +203,7 @@ def split_rows(raw: DataFrame, layout: Layout) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for part in slices(batch, 4096):
                 ids, kinds, records = (part.column(i) for i in range(3))
                 reason, s = check_batch(kinds, records, layout)
                 valid = reason == ""
