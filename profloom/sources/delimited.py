@@ -62,7 +62,7 @@ def _kind_of(column: pa.Array) -> int:
 
 def kinds_of(raw: DataFrame) -> list[int]:
     """Of each column the bits of its kinds, over all rows."""
-    names = raw.columns
+    names = [f"c{i}" for i in range(len(raw.columns))]  # any name may stand in a file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [0] * len(names)
@@ -70,7 +70,7 @@ def kinds_of(raw: DataFrame) -> list[int]:
             bits = [b | _kind_of(c) for b, c in zip(bits, batch.columns)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(names)), pa.int32()), pa.array(bits, pa.int32())], names=["column", "bits"])
 
-    found = {r["column"]: r["bits"] for r in raw.mapInArrow(run, "column int, bits int").groupBy("column").agg(F.bit_or("bits").alias("bits")).collect()}
+    found = {r["column"]: r["bits"] for r in raw.toDF(*names).mapInArrow(run, "column int, bits int").groupBy("column").agg(F.bit_or("bits").alias("bits")).collect()}
     return [found.get(i, 0) for i in range(len(names))]
 
 

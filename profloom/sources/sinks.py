@@ -66,8 +66,10 @@ def write_pages(df: DataFrame, key: str, size: int, stem: str, sort: bool = True
 
     Each page is written by one task under a name of its attempt and then renamed.
     """
-    schema_names = df.columns
-    paged = assign_pages(df, key, size)
+    names = df.columns
+    held = [f"c{i}" for i in range(len(names))]  # names as they are would be parsed
+    key = held[names.index(key)]
+    paged = assign_pages(df.toDF(*held), key, size)
     order = ["page", F.col(key).asc_nulls_last()] if sort else ["page"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +85,7 @@ def write_pages(df: DataFrame, key: str, size: int, stem: str, sort: bool = True
         for batch in batches:
             ids = batch["page"].to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)] if len(ids) else [0]
-            rows = batch.select(schema_names)
+            rows = batch.select(held)
             for a, b in zip(cuts, cuts[1:]):
                 part = rows.slice(a, b - a)
                 keys = [k for k in part[key].to_pylist() if k is not None]
@@ -92,9 +94,9 @@ def write_pages(df: DataFrame, key: str, size: int, stem: str, sort: bool = True
                     page, low, high = int(ids[a]), min(keys), max(keys)
                     temporary = f"{stem}-{uuid.uuid4().hex}.tmp"
                     os.makedirs(os.path.dirname(temporary) or ".", exist_ok=True)
-                    writer = pq.ParquetWriter(temporary, part.schema.with_metadata(PRODUCER))
+                    writer = pq.ParquetWriter(temporary, part.rename_columns(names).schema.with_metadata(PRODUCER))
                 low, high = min(low, *keys), max(high, *keys)
-                writer.write_batch(part.replace_schema_metadata(PRODUCER))
+                writer.write_batch(part.rename_columns(names).replace_schema_metadata(PRODUCER))
         close()
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.int64()), pa.array([f for _, f in done], pa.string())], names=["page", "path"])
 

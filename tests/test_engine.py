@@ -246,3 +246,32 @@ def test_stream_ingest_is_idempotent(tmp_path, spark, rows):
 def test_latest_rows(spark, rows):
     df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (2, None, "c")], "k int, t int, v string")
     assert rows(latest_rows(df, ["k"], "t")) == [(1, 7, "b"), (2, None, "c")]
+
+
+def test_warehouse_functions(tmp_path, spark):
+    from profloom import api
+
+    exports(tmp_path / "in")
+    root = api.write_iceberg_warehouse(spark, str(tmp_path / "in"), str(tmp_path / "w"))
+    assert api.list_iceberg_tables(root, include_views=False) == ["profiles.joined_profiles"]
+    df = api.read_iceberg_table(spark, root, "joined_profiles")
+    assert df.count() == 7 and "Metadata_ObjectID" in df.columns
+    assert api.describe_iceberg_warehouse(spark, root).first()["rows"] == 7
+    with pytest.raises(NoInputDataException):
+        api.list_iceberg_tables(str(tmp_path / "in"))
+
+
+def test_wide_tables_and_odd_names(tmp_path, spark):
+    """Names with dots, blanks and backticks, and more columns than code is generated for."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    odd = ["a.b", "c d", "e`f", "g-h"]
+    names = odd + [f"F_{i}" for i in range(300)]
+    for t in ("Cells", "Nuclei", "Cytoplasm"):
+        keys = ["ImageNumber", "ObjectNumber"] + (["Parent_Cells", "Parent_Nuclei", "Number_Object_Number"] if t == "Cytoplasm" else [])
+        (folder / f"{t}.csv").write_text(",".join(keys + names) + "\n" + ",".join(["1"] * len(keys) + ["0.5"] * len(names)) + "\n")
+    (folder / "Image.csv").write_text("ImageNumber,FileName_A\n1,x.tif\n")
+    df = spark.read.parquet(convert(spark, str(folder), str(tmp_path / "out"), drop_null=True))
+    assert df.count() == 1 and {f"Cells_{n}" for n in odd} <= set(df.columns) and len(df.columns) == 3 * 304 + 2 + 4 + 2
+    paths = convert(spark, str(folder), str(tmp_path / "pages"), concat=False)
+    assert set(odd) <= {n.removeprefix("Cells_") for n in spark.read.parquet(*paths).columns}
