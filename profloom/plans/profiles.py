@@ -566,11 +566,11 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per type and day of event time, from a stream; complete output once all files are read."""
     folder = _local(spark, "events")
-    table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type").repartition(shuffle_partitions(spark)).write.parquet(folder)
+    table(spark, sf_dir, "events").select(F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp").alias("ts"), "event_type").repartition(shuffle_partitions(spark)).write.parquet(folder)
     name = "w" + os.path.basename(folder).replace("-", "")
     stream = counts_by_period(spark.readStream.schema("ts timestamp, event_type string").parquet(folder), "ts", "event_type", "1 day", "1 hour")
     stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return spark.table(name).select(F.to_utc_timestamp("start", F.current_timezone()).cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("SELECT column_name, data_type FROM (DESCRIBE SELECT TableNumber, ImageNumber, Metadata_Plate, Count_Cells, loaded_at FROM image) t(column_name, data_type, a, b, c, d)")
