@@ -84,8 +84,11 @@ def find_orphans(
             continue
         else:
             known = parents.groupBy(*(p for _, p in used)).agg(F.min("live_from").alias("live_from"), F.max("is_live").alias("is_live"))
-        side = known.select(*(F.col(p).alias(f"__p{i}") for i, (_, p) in enumerate(used)), "live_from", "is_live")
+        side = known.select(*(F.col(p).alias(f"__p{i}") for i, (_, p) in enumerate(used)), F.xxhash64(*(p for _, p in used)).alias("__hash"), "live_from", "is_live")
         condition = [F.col(c) == F.col(f"__p{i}") for i, (c, _) in enumerate(used)]
+        # the hash as a further key: parents are exchanged anew and not taken as their reduction left them, as only
+        # a join of two plain exchanges is split by adaptive skew handling
+        condition.append(F.xxhash64(*(c for c, _ in used)) == F.col("__hash"))
         branches.append(
             rows.join(side, condition, "left").withColumn("state", _state(F.col(time))).where(F.col("state").isNotNull()).select(*names, "state")
         )
