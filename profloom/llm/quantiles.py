@@ -245,7 +245,11 @@ def well_values(ph3: DataFrame, image: DataFrame) -> DataFrame:
         image.groupBy(*key).agg(F.max("Metadata_Plate").alias("metadata_plate"), F.max("Metadata_Well").alias("metadata_well"))
         .where("metadata_plate IS NOT NULL AND metadata_well IS NOT NULL")
     )
-    return objects.join(wells, key).select("metadata_plate", "metadata_well", "x")
+    # the hash as a further key: images are exchanged anew and not taken as their reduction left them, as only
+    # a join of two plain exchanges is split by adaptive skew handling where one image has very many objects
+    both = [*key, "__hash"]
+    objects, wells = (df.withColumn("__hash", F.xxhash64(*key)) for df in (objects, wells))
+    return objects.join(wells, both).select("metadata_plate", "metadata_well", "x")
 
 
 def well_percentiles(ph3: DataFrame, image: DataFrame, percents: list[int], eps: float = EPSILON) -> DataFrame:
