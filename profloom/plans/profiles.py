@@ -462,7 +462,7 @@ def q_numeric_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS DP_{i + 1}" for i in range(8)) + " FROM embeddings")
 def q_npz_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("features"))
-    return npz.array_columns(df, "features", "DP", 8)
+    return npz.array_columns(df, "features", "DP", npz.array_width(df, "features"))
 
 
 _DESCRIBED = ("image", "nuclei", "ph3", "experiment", "orders")

@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profloom.errors import SchemaException
@@ -81,6 +82,11 @@ def read_npz(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     return rows.withMetadata("features", {"prefix": prefix, "width": width})
 
 
+def array_width(df: DataFrame, array: str) -> int:
+    """The length of the longest array, which a plan of one column per element must know; 0 without any."""
+    return df.agg(F.max(F.size(array))).first()[0] or 0
+
+
 def array_columns(df: DataFrame, array: str, prefix: str, width: int) -> DataFrame:
     """An array column as ``width`` columns, in one projection; missing elements are null."""
     rest = [quoted(n) for n in df.columns if n != array]

@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from profloom.errors import DatatypeException, NoInputDataException, SchemaException
+from profloom.plans import profiles
 from profloom.sources import delimited, discovery, images, npz, sinks, sqlite
 from profloom.sources.discovery import Source
 
@@ -121,6 +122,28 @@ def test_npz(tmp_path, spark, rows):
     assert issubclass(SchemaException, Exception)
 
 
+def test_embeddings_as_columns(tmp_path, spark, rows):
+    arrays = [list(map(float, range(n))) for n in (64, 70)]
+    spark.createDataFrame([(1, "a", arrays[0]), (2, None, arrays[1]), (3, "c", None), (4, "d", [])], "vec_id bigint, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = profiles.q_npz_flatten(spark, str(tmp_path))
+    assert df.columns == ["vec_id", "label", *(f"DP_{i}" for i in range(1, 71))]
+    blank = [None] * 70
+    assert rows(df) == sorted([(1, "a", *arrays[0], *blank[64:]), (2, None, *arrays[1]), (3, "c", *blank), (4, "d", *blank)], key=repr)
+    spark.createDataFrame([], "vec_id bigint, label string, embedding array<float>").write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    assert profiles.q_npz_flatten(spark, f"{tmp_path}/none").columns == ["vec_id", "label"]
+
+
+def test_embeddings_keep_every_element(spark, data):
+    from pyspark.sql import functions as F
+
+    df = profiles.q_npz_flatten(spark, data)
+    raw = spark.read.parquet(f"{data}/embeddings.parquet")
+    width = raw.agg(F.max(F.size("embedding"))).first()[0]
+    assert df.columns == ["vec_id", "label", *(f"DP_{i + 1}" for i in range(width))]
+    back = df.select("vec_id", F.array(*df.columns[2:]).alias("a"))
+    assert raw.join(back, "vec_id").where(F.col("embedding").cast("array<double>") == F.col("a")).count() == raw.where("embedding IS NOT NULL").count() > 0
+
+
 @pytest.mark.parametrize("dtype", ["uint8", "uint16", "float32", "int16"])
 @pytest.mark.parametrize("deflate", [False, True])
 @pytest.mark.parametrize("shape", [(5, 7), (4, 3, 3)])
