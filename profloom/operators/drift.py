@@ -11,7 +11,8 @@ runs again from its known start.
 
 Defined cases: empty bodies have no fields; a byte-order mark is dropped; of fields named twice in a
 header the first counts; cells missing from a short line are blank, surplus cells are ignored; blank
-is empty or white space; of several lines of one image the first counts; null bodies are empty;
+is empty or white space; of several lines of one image (a blank is one)
+the first counts for renames and all count for kinds; null bodies are empty;
 files of a null series form one series, null times come first, ties follow file_id; a row that
 occurs again is a file of its own, without changes.
 """
@@ -47,17 +48,33 @@ def parse_export(body: str | None) -> tuple[list[str], list[list[str]]]:
     return names, [(x + [""] * (len(names) - len(x)))[: len(names)] for x in lines[1:]]
 
 
-def columns_of(body: str | None) -> tuple[list[str], dict[str, dict[str, str]]]:
-    """Field names in order, and of each field the cell by image."""
+def fields_of(body: str | None) -> tuple[dict[str, int], list[list[str]]]:
+    """Field names in order with their places, and all records."""
     names, records = parse_export(body)
-    names = list(dict.fromkeys(names)) if len(set(names)) == len(names) else names
-    at = {n: i for i, n in reversed(list(enumerate(names)))}
-    fields = list(dict.fromkeys(names))
+    at: dict[str, int] = {}
+    for i, n in enumerate(names):
+        at.setdefault(n, i)
+    return at, records
+
+
+def by_image(at: dict[str, int], records: list[list[str]]) -> dict[str, dict[str, str]]:
+    """Of each field the cell by image, of the first record of an image."""
     key = at.get(KEY_FIELD)
     rows: dict[str, list[str]] = {}
     for k, r in enumerate(records):
         rows.setdefault(canonical(r[key]) if key is not None else f"#{k}", r)
-    return fields, {f: {k: r[at[f]] for k, r in rows.items()} for f in fields}
+    return {f: {k: r[i] for k, r in rows.items()} for f, i in at.items()}
+
+
+def columns_of(body: str | None) -> tuple[list[str], dict[str, dict[str, str]]]:
+    """Field names in order, and of each field the cell by image."""
+    at, records = fields_of(body)
+    return list(at), by_image(at, records)
+
+
+def kinds_in(at: dict[str, int], records: list[list[str]]) -> dict[str, int]:
+    """The kind of each field over all records, those of one image too."""
+    return {f: kind_of(r[i] for r in records) for f, i in at.items()}
 
 
 def canonical(cell: str) -> str:
@@ -87,9 +104,11 @@ def kind_of(cells: Iterator[str]) -> int:
 
 def compare(body: str | None, before: str | None, first: bool) -> dict:
     """What a file has and how it differs from the one before: fields [name, kind, name before] and removed names."""
-    names, cells = columns_of(body)
+    at, records = fields_of(body)
+    names, kinds = list(at), kinds_in(at, records)
     if first:
-        return {"fields": [[n, kind_of(iter(cells[n].values())), None] for n in names], "removed": [], "first": True}
+        return {"fields": [[n, kinds[n], None] for n in names], "removed": [], "first": True}
+    cells = by_image(at, records)
     old_names, old_cells = columns_of(before)
     gone = [n for n in old_names if n not in cells]
     came = [n for n in names if n not in old_cells]
@@ -103,7 +122,7 @@ def compare(body: str | None, before: str | None, first: bool) -> dict:
                     renamed[new] = old
                     break
     return {
-        "fields": [[n, kind_of(iter(cells[n].values())), n if n in old_cells else renamed.get(n)] for n in names],
+        "fields": [[n, kinds[n], n if n in old_cells else renamed.get(n)] for n in names],
         "removed": [n for n in gone if n not in renamed.values()],
         "first": False,
     }
@@ -203,9 +222,8 @@ def union_fields(files: DataFrame) -> list[tuple[str, str]]:
         widest: dict[str, int] = {}
         for batch in batches:
             for body in batch.column(0).to_pylist():
-                names, cells = columns_of(body)
-                for n in names:
-                    widest[n] = max(widest.get(n, 0), kind_of(iter(cells[n].values())))
+                for n, kind in kinds_in(*fields_of(body)).items():
+                    widest[n] = max(widest.get(n, 0), kind)
         if widest:
             yield pa.RecordBatch.from_arrays([pa.array(list(widest)), pa.array(list(widest.values()), pa.int32())], names=["name", "kind"])
 

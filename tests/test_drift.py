@@ -56,6 +56,36 @@ def test_repeated_rows_and_null_ids(spark, rows):
     assert changes(spark, rows, twice, 2) == [(None, "A", "retyped")]
 
 
+REPEATED = [
+    (1, 1, T(1), "ImageNumber,A,B\n1,1,1\n,2,1\n"),
+    (2, 1, T(2), "ImageNumber,A,B\n1,1,1\n1.0,x,1\n,2,1\n,2,2.5\n"),
+    (3, 1, T(3), "ImageNumber,C,B\n1,1,7\n2,7,7\n2,8,nan\n"),
+]
+
+
+def test_kinds_come_from_all_lines_of_an_image(spark, rows):
+    wider = [(2, "A", "retyped"), (2, "B", "retyped"), (2, "ImageNumber", "retyped")]
+    assert changes(spark, rows, REPEATED[:2]) == wider
+    assert changes(spark, rows, REPEATED) == [*wider, (3, "C", "renamed"), (3, "C", "retyped"), (3, "ImageNumber", "retyped")]
+
+
+def test_repeated_images_as_in_the_sql(spark, rows):
+    import duckdb
+
+    from profloom.plans import records
+
+    db = duckdb.connect()
+    db.execute("CREATE TABLE image_file (file_id BIGINT, series_id BIGINT, exported_at TIMESTAMP, body VARCHAR)")
+    db.executemany("INSERT INTO image_file VALUES (?, ?, ?, ?)", REPEATED[:2])
+    assert sorted(db.execute(records.SQL["p4_found"]).fetchall()) == changes(spark, rows, REPEATED[:2])
+
+
+def test_consistent_table_of_repeated_images(spark, rows):
+    table = drift.consistent_table(spark.createDataFrame(REPEATED, SCHEMA))
+    assert table.dtypes == [("file_id", "bigint"), ("A", "string"), ("B", "double"), ("C", "bigint"), ("ImageNumber", "double")]
+    assert rows(table.where("file_id = 2"), "A", "B") == [("1", 1.0), ("2", 1.0), ("2", 2.5), ("x", 1.0)]
+
+
 def test_no_files(spark, rows):
     assert changes(spark, rows, []) == []
     table = drift.consistent_table(spark.createDataFrame([], SCHEMA))
