@@ -65,9 +65,8 @@ def _csv_parts(spark: SparkSession, sources: Sequence[Source]) -> list[DataFrame
     sources = delimited.readable(sources)
     numbered = [(s.path, s.table_number) for s in sources if s.table_number is not None]
     numbers = spark.createDataFrame(numbered, "path string, TableNumber bigint") if numbered else None
-    headers = delimited.by_header(sources)
-    known = {names: delimited.file_schema(spark, [s.path for s in files], names) for names, files in headers.items()}
-    return [delimited.scan_files(spark, [s.path for s in files], names, known[names], numbers) for names, files in headers.items()]
+    known = delimited.sound(spark, sources)
+    return [delimited.scan_files(spark, [s.path for s in files], names, schema, numbers) for names, (files, schema) in known.items()]
 
 
 def _sqlite_parts(spark: SparkSession, sources: Sequence[Source]) -> list[DataFrame]:

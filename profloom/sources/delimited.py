@@ -1,19 +1,23 @@
 """CSV files as typed DataFrames.
 
 Files with the same header are one scan. All columns are first texts; their kinds are found over all
-rows by one narrow pass that yields a row per column and batch, and then cast in one projection.
+rows by one narrow pass that yields a row per column, file and batch, and then cast in one projection.
+
+Malformed files, in which some record has more or fewer fields than the header, are found by the same pass
+and left out as a whole, with a warning. Blank lines are no records.
 """
 
 from __future__ import annotations
 
 import csv
 import logging
+import os
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,10 +44,16 @@ def read_header(path: str) -> list[str]:
         return distinct_names(next(csv.reader(f), []))
 
 
-def _raw(spark: SparkSession, paths: Sequence[str], names: Sequence[str]) -> DataFrame:
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+def _raw(spark: SparkSession, paths: Sequence[str], names: Sequence[str], broken: str | None = None) -> DataFrame:
+    """The texts of the files; with ``broken`` also a column of that name, not null for records of a wrong number of fields."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, *([broken] if broken else []))])
     reader = spark.read.schema(schema).options(header=True, sep=",", quote='"', escape='"', enforceSchema=True, multiLine=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False)
-    return reader.csv(list(paths))
+    return (reader.option("columnNameOfCorruptRecord", broken) if broken else reader).csv(list(paths))
+
+
+def _place() -> Column:
+    """The path of a row's file."""
+    return F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
 
 
 def _kind_of(column: pa.Array) -> int:
@@ -60,18 +70,29 @@ def _kind_of(column: pa.Array) -> int:
     return bits | (1 << len(KINDS)) if len(left) else bits
 
 
-def kinds_of(raw: DataFrame) -> list[int]:
-    """Of each column the bits of its kinds, over all rows."""
-    names = [f"c{i}" for i in range(len(raw.columns))]  # any name may stand in a file
+def probe(spark: SparkSession, paths: Sequence[str], names: Sequence[str]) -> tuple[list[int], set[str]]:
+    """Of each column the bits of its kinds over all rows of sound files, and the paths of the malformed files."""
+    broken = distinct_names([*names, "broken"])[-1]
+    columns = [f"c{i}" for i in range(len(names))]  # any name may stand in a file
+    raw = _raw(spark, paths, names, broken)
+    raw = raw.select(*(F.col(quoted(n)).alias(c) for n, c in zip(names, columns)), F.col(quoted(broken)).isNotNull().alias("broken"), _place().alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [0] * len(names)
         for batch in batches:
-            bits = [b | _kind_of(c) for b, c in zip(bits, batch.columns)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(names)), pa.int32()), pa.array(bits, pa.int32())], names=["column", "bits"])
-
-    found = {r["column"]: r["bits"] for r in raw.toDF(*names).mapInArrow(run, "column int, bits int").groupBy("column").agg(F.bit_or("bits").alias("bits")).collect()}
-    return [found.get(i, 0) for i in range(len(names))]
+            place = batch["path"].dictionary_encode()
+            for k, path in enumerate(place.dictionary.to_pylist()):
+                own = batch if len(place.dictionary) == 1 else batch.filter(pc.equal(place.indices, k))
+                bits = [_kind_of(own[c]) for c in columns]
+                n = len(columns)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(bits, pa.int32()), pa.array([pc.any(own["broken"]).as_py()] * n, pa.bool_())],
+                    names=["path", "column", "bits", "broken"],
+                )
+
+    files = raw.mapInArrow(run, "path string, column int, bits int, broken boolean").groupBy("path", "column").agg(F.bit_or("bits").alias("bits"), F.bool_or("broken").alias("broken"))
+    malformed = F.collect_set(F.when(F.col("broken") & (F.col("column") == 0), F.col("path")))  # once, not for every column
+    found = {r["column"]: r for r in files.groupBy("column").agg(F.bit_or(F.when(~F.col("broken"), F.col("bits"))).alias("bits"), malformed.alias("malformed")).collect()}
+    return [(found[i]["bits"] or 0) if i in found else 0 for i in range(len(names))], {p for r in found.values() for p in r["malformed"]}
 
 
 def type_of(bits: int) -> T.DataType:
@@ -82,10 +103,6 @@ def type_of(bits: int) -> T.DataType:
     return alone.get(bits, T.DoubleType() if bits == 0b11 else T.StringType())
 
 
-def file_schema(spark: SparkSession, paths: Sequence[str], names: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField(n, type_of(b)) for n, b in zip(names, kinds_of(_raw(spark, paths, names)))])
-
-
 def scan_files(spark: SparkSession, paths: Sequence[str], names: Sequence[str], schema: T.StructType, numbers: DataFrame | None = None) -> DataFrame:
     """Files of one header under ``schema``, a subset of their columns.
 
@@ -93,8 +110,7 @@ def scan_files(spark: SparkSession, paths: Sequence[str], names: Sequence[str],
     """
     raw = _raw(spark, paths, names)
     if numbers is not None:
-        place = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
-        raw = raw.select("*", place.alias("__path")).join(numbers.withColumnRenamed("path", "__path"), "__path", "left")
+        raw = raw.select("*", _place().alias("__path")).join(numbers.withColumnRenamed("path", "__path"), "__path", "left")
         schema = T.StructType([T.StructField("TableNumber", T.LongType()), *(f for f in schema.fields if f.name != "TableNumber")])
     # blank texts are null; blank numbers are when they are cast, and `nan` and `inf` are numbers to the cast
     texts = {f.name for f in schema.fields if isinstance(f.dataType, T.StringType)}
@@ -124,19 +140,27 @@ def by_header(sources: Sequence[Source]) -> dict[tuple[str, ...], list[Source]]:
     return out
 
 
-def schemas(spark: SparkSession, sources: Sequence[Source]) -> dict[tuple[str, ...], T.StructType]:
-    """The inferred schema of each header among the sources, in their order."""
-    return {names: file_schema(spark, [s.path for s in files], names) for names, files in by_header(sources).items()}
+def sound(spark: SparkSession, sources: Sequence[Source]) -> dict[tuple[str, ...], tuple[list[Source], T.StructType]]:
+    """Of each header among the sources, in their order, its files and their inferred schema; malformed files are left out and reported."""
+    out = {}
+    for names, files in by_header(sources).items():
+        bits, malformed = probe(spark, [s.path for s in files], names)
+        for s in files:
+            if os.path.abspath(s.path) in malformed:
+                log.warning("%s has records that aren't of the header's %d fields and is left out", s.path, len(names))
+        kept = [s for s in files if os.path.abspath(s.path) not in malformed]
+        if kept:
+            out[names] = (kept, T.StructType([T.StructField(n, type_of(b)) for n, b in zip(names, bits)]))
+    if not out:
+        raise NoInputDataException("none of the files can be read")
+    return out
 
 
 def read_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """All files as one table of the columns they share, in harmonized types."""
-    sources = readable([Source(p) for p in paths])
-    known = schemas(spark, sources)
-    schema, dropped = common_schema(list(known.values()))
+    known = sound(spark, readable([Source(p) for p in paths]))
+    schema, dropped = common_schema([own for _, own in known.values()])
     if dropped:
         log.warning("columns that not all files have are left out: %s", ", ".join(dropped))
-    parts = [scan_files(spark, [s.path for s in files], names, schema) for names, files in by_header(sources).items()]
+    parts = [scan_files(spark, [s.path for s in files], names, schema) for names, (files, _) in known.items()]
     return reduce(DataFrame.unionByName, parts)
-
-

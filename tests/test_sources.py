@@ -85,6 +85,18 @@ def test_csv_files_of_different_headers(tmp_path, spark, rows):
         delimited.read_csv(spark, [str(tmp_path / "bad.csv")])
 
 
+def test_malformed_csv_files_are_left_out(tmp_path, spark, rows, caplog):
+    put(tmp_path, good='x,broken\n1,"a,\nb"\n\n2,\n', long="x,broken\n1,a\nword,b,surplus\n", short="x,broken\n7\n2,c\n", other="broken,x\nd,3\n", none="x,broken\n")
+    (tmp_path / "long.csv").rename(tmp_path / "long + 1%.csv")
+    paths = [str(p) for p in sorted(tmp_path.glob("*.csv"))]
+    df = delimited.read_csv(spark, paths)
+    assert dict(df.dtypes) == {"x": "bigint", "broken": "string"}
+    assert rows(df, "x", "broken") == [(1, "a,\nb"), (2, None), (3, "d")]
+    assert sorted(r.getMessage().split(" has ")[0] for r in caplog.records if "left out" in r.getMessage()) == [str(tmp_path / n) for n in ("long + 1%.csv", "short.csv")]
+    with pytest.raises(NoInputDataException):
+        delimited.read_csv(spark, [str(tmp_path / "short.csv")])
+
+
 def database(path, n=100):
     with sqlite3.connect(path) as db:
         db.execute("CREATE TABLE tbl_a (col_integer INTEGER NOT NULL, col_text TEXT, col_blob BLOB, col_real DOUBLE, flag BOOLEAN, day DATE, size VARCHAR(64))")
