@@ -9,7 +9,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -27,25 +27,36 @@ IMAGE_TYPE = T.StructType([T.StructField("shape", T.ArrayType(T.IntegerType())),
 ARROW_IMAGE = pa.struct([("shape", pa.list_(pa.int32())), ("dtype", pa.string()), ("pixels", pa.binary())])
 
 # Tags, and sizes and codes of the element types, of the TIFF format.
-WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS, COUNTS, PREDICTOR, TILE, FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 317, 322, 339
+SUBFILE, WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS, COUNTS, PREDICTOR, TILE, FORMAT = 254, 256, 257, 258, 259, 273, 277, 278, 279, 317, 322, 339
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 16: 8}
 CODES = {1: "B", 3: "H", 4: "I", 16: "Q"}
 
 
-def decode_tiff(data: bytes) -> np.ndarray:
-    """The first image of an uncompressed or deflated TIFF in strips, 8 to 64 bits a sample."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
-        raise DatatypeException("not a TIFF file")
-    at = struct.unpack(order + "I", data[4:8])[0]
-    tags: dict[int, tuple] = {}
-    for i in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
-        if kind not in CODES:
-            continue
-        size = SIZES[kind] * n
-        place = at + 10 + 12 * i if size <= 4 else struct.unpack(order + "I", data[at + 10 + 12 * i : at + 14 + 12 * i])[0]
-        tags[tag] = struct.unpack(f"{order}{n}{CODES[kind]}", data[place : place + size])
+def _directories(data: bytes, order: str) -> Iterator[dict[int, tuple]]:
+    """The tags of every image of a TIFF, along the chain of its directories."""
+    at, seen = struct.unpack(order + "I", data[4:8])[0], set()
+    while at:
+        if at in seen or at + 2 > len(data):
+            raise DatatypeException("a TIFF file whose directories are cut short or run in a circle")
+        seen.add(at)
+        n_tags = struct.unpack(order + "H", data[at : at + 2])[0]
+        end = at + 2 + 12 * n_tags
+        if end + 4 > len(data):
+            raise DatatypeException("a TIFF file whose directories are cut short or run in a circle")
+        tags: dict[int, tuple] = {}
+        for i in range(n_tags):
+            tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
+            if kind not in CODES:
+                continue
+            size = SIZES[kind] * n
+            place = at + 10 + 12 * i if size <= 4 else struct.unpack(order + "I", data[at + 10 + 12 * i : at + 14 + 12 * i])[0]
+            tags[tag] = struct.unpack(f"{order}{n}{CODES[kind]}", data[place : place + size])
+        yield tags
+        at = struct.unpack(order + "I", data[end : end + 4])[0]
+
+
+def _plane(data: bytes, order: str, tags: Mapping[int, tuple]) -> np.ndarray:
+    """The pixels of one directory."""
     if TILE in tags:
         raise DatatypeException("tiled TIFF files can't be read")
     compression = tags.get(COMPRESSION, (1,))[0]
@@ -59,6 +70,24 @@ def decode_tiff(data: bytes) -> np.ndarray:
     return image.astype(dtype.newbyteorder("="))
 
 
+def decode_tiff(data: bytes) -> np.ndarray:
+    """All images of an uncompressed or deflated TIFF in strips, 8 to 64 bits a sample.
+
+    One image is (height, width) or (height, width, samples), several are (planes, height, width, samples) in the
+    order of the file. Directories marked as smaller copies of another are no planes.
+    """
+    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+        raise DatatypeException("not a TIFF file")
+    found = list(_directories(data, order))
+    if not found:
+        raise DatatypeException("a TIFF file without an image")
+    planes = [_plane(data, order, tags) for tags in [t for t in found if not t.get(SUBFILE, (0,))[0] & 1] or found[:1]]
+    if len({(p.shape, p.dtype) for p in planes}) > 1:
+        raise DatatypeException("TIFF files with images of different shapes or types can't be read")
+    return planes[0] if len(planes) == 1 else np.stack([p if p.ndim == 3 else p[:, :, None] for p in planes])
+
+
 def encode_tiff(image: np.ndarray, deflate: bool = False) -> bytes:
     """A little-endian TIFF with one strip."""
     height, width = image.shape[:2]
@@ -85,8 +114,9 @@ def image_array(value: Mapping) -> np.ndarray:
 
 
 def crop(image: np.ndarray, x_min: int, x_max: int, y_min: int, y_max: int) -> np.ndarray:
-    """The part within the bounds; bounds below 0 are 0, bounds beyond the image end with it."""
-    return image[max(0, y_min) : max(0, y_max), max(0, x_min) : max(0, x_max)]
+    """The part within the bounds, of every plane; bounds below 0 are 0, bounds beyond the image end with it."""
+    rows, columns = slice(max(0, y_min), max(0, y_max)), slice(max(0, x_min), max(0, x_max))
+    return image[rows, columns] if image.ndim == 2 else image[..., rows, columns, :]
 
 
 def list_images(root: str) -> list[str]:

@@ -1,5 +1,6 @@
 import os
 import sqlite3
+import struct
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ from profloom.errors import DatatypeException, NoInputDataException, SchemaExcep
 from profloom.plans import profiles
 from profloom.sources import delimited, discovery, images, npz, sinks, sqlite
 from profloom.sources.discovery import Source
+from profloom.warehouse import images as picture_tables
 
 
 def put(folder, **files):
@@ -168,6 +170,44 @@ def test_tiff_round_trip(dtype, deflate, shape):
         images.decode_tiff(b"nothing")
 
 
+def pages(*planes, smaller=()):
+    """A TIFF of several directories; those whose number is in ``smaller`` are marked as copies of reduced size."""
+    out = b""
+    for i, plane in enumerate(planes):
+        page = bytearray(images.encode_tiff(plane))
+        (at,), base = struct.unpack("<I", page[4:8]), max(0, len(out) - 8)
+        page[at + 58 : at + 62] = struct.pack("<I", 8 + base)  # where its strip begins
+        if i in smaller:
+            page[at + 74 : at + 86] = struct.pack("<HHII", images.SUBFILE, 4, 1, 1)  # in place of the rows per strip
+        out = out[:-4] + struct.pack("<I", at + base) + page[8:] if out else bytes(page)
+    return out
+
+
+@pytest.mark.parametrize("shape", [(4, 5), (4, 5, 3)])
+def test_tiff_of_several_pages(tmp_path, shape):
+    planes = [(np.arange(np.prod(shape)) + 100 * k).reshape(shape).astype("uint16") for k in range(3)]
+    image = images.decode_tiff(pages(*planes))
+    assert image.shape == (3, 4, 5, shape[2] if len(shape) == 3 else 1) and all(np.array_equal(image[k].reshape(shape), p) for k, p in enumerate(planes))
+    part = images.image_array(images.image_struct(images.crop(image, 1, 3, -2, 2)))
+    assert all(np.array_equal(part[k], p[:2, 1:3].reshape(2, 2, -1)) for k, p in enumerate(planes))
+    assert np.array_equal(images.decode_tiff(pages(planes[0], planes[1][::2], smaller=[1])), planes[0])
+    with pytest.raises(DatatypeException, match="different"):
+        images.decode_tiff(pages(planes[0], planes[1][::2]))
+    circle = bytearray(pages(*planes))
+    circle[-4:] = circle[4:8]
+    with pytest.raises(DatatypeException, match="circle"):
+        images.decode_tiff(bytes(circle))
+
+
+def test_source_images_hold_all_planes(tmp_path, spark):
+    (tmp_path / "a.tif").write_bytes(pages(*(np.full((4, 5), k, "uint8") for k in range(3))))
+    profiles = spark.createDataFrame([(1, 2, "a.tif", 1, 1, 3, 4, "o")], "Metadata_TableNumber bigint, Metadata_ImageNumber bigint, Image_FileName_DNA string, Cells_AreaShape_BoundingBoxMinimum_X bigint, Cells_AreaShape_BoundingBoxMinimum_Y bigint, Cells_AreaShape_BoundingBoxMaximum_X bigint, Cells_AreaShape_BoundingBoxMaximum_Y bigint, Metadata_ObjectID string")
+    whole = picture_tables.source_image_table(profiles, str(tmp_path)).first()["ome_arrow_image"]
+    part = picture_tables.crop_table(profiles, str(tmp_path)).first()["ome_arrow_image"]
+    assert whole["shape"] == [3, 4, 5, 1] and part["shape"] == [3, 3, 2, 1]
+    assert images.image_array(part)[:, 0, 0, 0].tolist() == [0, 1, 2]
+
+
 def test_crop_clamps():
     image = np.arange(100).reshape(10, 10)
     assert images.crop(image, -5, 2, 8, 99).tolist() == [[80, 81], [90, 91]]
