@@ -22,8 +22,11 @@ from __future__ import annotations
 import csv
 import io
 import json
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 import pyarrow as pa
@@ -211,31 +214,62 @@ def schema_changes(files: DataFrame, block: int = 50_000) -> DataFrame:
     return fold_changes(cut_lineage(digest_files(files)), block)
 
 
-def union_fields(files: DataFrame) -> list[tuple[str, str]]:
-    """The fields of the one consistent table with their kinds: the join of all files' kinds in the lattice.
+def too_long(cell: str) -> bool:
+    """Whether a whole number has no 64-bit integer, or another number no finite double."""
+    if WHOLE.fullmatch(cell):
+        return len(cell) > 18 and _whole(cell) is None
+    return len(cell) > 4 and NUMBER.fullmatch(cell) is not None and math.isinf(float(cell))
+
+
+def _whole(cell: str) -> int | None:
+    digits = cell.lstrip("-").lstrip("0") or "0"
+    value = int(digits) * (-1 if cell[0] == "-" else 1) if len(digits) <= 19 else 1 << 63
+    return value if -(1 << 63) <= value < 1 << 63 else None
 
-    Names that differ in case only share a column under the smallest spelling. One row per distinct
-    field name reaches the driver, as it must to name the columns.
+
+def union_columns(files: DataFrame) -> list[tuple[str, str, list[str]]]:
+    """The columns of the one consistent table: name, kind (the join of all files' kinds in the lattice) and the fields they hold.
+
+    Fields that differ in case only share a column under the smallest spelling, unless some file has several of them: then each
+    is a column of its own, numbered where names must differ in more than case. Numbers too long for 64 bits make a column text.
+    One row per distinct field name reaches the driver, as it must to name the columns.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         widest: dict[str, int] = {}
+        twins: set[str] = set()
         for batch in batches:
             for body in batch.column(0).to_pylist():
-                for n, kind in kinds_in(*fields_of(body)).items():
-                    widest[n] = max(widest.get(n, 0), kind)
+                at, records = fields_of(body)
+                spellings = Counter(n.lower() for n in at)
+                twins.update(n for n in at if spellings[n.lower()] > 1)
+                for n, kind in kinds_in(at, records).items():
+                    if widest.get(n, 0) < 3:
+                        widest[n] = 3 if kind < 3 and any(too_long(r[at[n]]) for r in records) else max(widest.get(n, 0), kind)
         if widest:
-            yield pa.RecordBatch.from_arrays([pa.array(list(widest)), pa.array(list(widest.values()), pa.int32())], names=["name", "kind"])
-
-    rows = files.select("body").mapInArrow(run, "name string, kind int").groupBy(F.lower("name").alias("folded")).agg(F.min("name").alias("name"), F.max("kind").alias("kind")).collect()
-    return sorted((r["name"], KINDS[r["kind"]]) for r in rows)
+            yield pa.RecordBatch.from_arrays([pa.array(list(widest)), pa.array(list(widest.values()), pa.int32()), pa.array([n in twins for n in widest])], names=["name", "kind", "twin"])
+
+    found = files.select("body").mapInArrow(run, "name string, kind int, twin boolean").groupBy("name").agg(F.max("kind").alias("kind"), F.bool_or("twin").alias("twin")).collect()
+    folded: dict[str, list] = {}
+    for r in sorted(found, key=lambda r: r["name"]):
+        folded.setdefault(r["name"].lower(), []).append(r)
+    taken, out = set(folded), []
+    for rows in folded.values():
+        if not any(r["twin"] for r in rows):
+            out.append((rows[0]["name"], KINDS[max(r["kind"] for r in rows)], [r["name"] for r in rows]))
+            continue
+        for k, r in enumerate(rows):
+            name = r["name"] if not k else next(x for i in count(1) if (x := f"{r['name']}_{i}").lower() not in taken)
+            taken.add(name.lower())
+            out.append((name, KINDS[r["kind"]], [r["name"]]))
+    return sorted(out)
 
 
 def consistent_table(files: DataFrame) -> DataFrame:
     """Every record of every file under the union schema, with its file_id; blank cells are null."""
-    fields = union_fields(files)
+    fields = union_columns(files)
     types = {"none": ("string", pa.string()), "whole": ("bigint", pa.int64()), "number": ("double", pa.float64()), "text": ("string", pa.string())}
-    names = [n for n, _ in fields]
+    names = [n for n, _, _ in fields]
     taken = {n.lower() for n in names}
     id_name = next(x for x in ("file_id", *(f"file_id_{i}" for i in range(1, len(taken) + 2))) if x.lower() not in taken)
 
@@ -243,7 +277,7 @@ def consistent_table(files: DataFrame) -> DataFrame:
         if not cell.strip():
             return None
         if kind == "whole":
-            return int(cell) if -(1 << 63) <= int(cell) < 1 << 63 else None
+            return _whole(cell)
         return float(cell) if kind == "number" else cell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,15 +286,12 @@ def consistent_table(files: DataFrame) -> DataFrame:
                 ids: list = []
                 cells: list[list] = [[] for _ in names]
                 for file_id, body in zip(p["file_id"].to_pylist(), p["body"].to_pylist()):
-                    header, records = parse_export(body)
-                    place: dict[str, int] = {}
-                    for i, h in enumerate(header):
-                        place.setdefault(h.lower(), i)
+                    at, records = fields_of(body)
                     ids += [file_id] * len(records)
-                    for (name, kind), out in zip(fields, cells):
-                        i = place.get(name.lower())
+                    for (_, kind, held), out in zip(fields, cells):
+                        i = next((at[n] for n in held if n in at), None)
                         out += [None] * len(records) if i is None else [cast(r[i], kind) for r in records]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, types[k][1]) for c, (_, k) in zip(cells, fields))], names=[id_name, *names])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, types[k][1]) for c, (_, k, _) in zip(cells, fields))], names=[id_name, *names])
 
-    schema = ", ".join([f"`{id_name}` bigint", *(f"`{n.replace('`', '``')}` {types[k][0]}" for n, k in fields)])
+    schema = ", ".join([f"`{id_name}` bigint", *(f"`{n.replace('`', '``')}` {types[k][0]}" for n, k, _ in fields)])
     return files.select("file_id", "body").mapInArrow(run, schema)

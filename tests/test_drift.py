@@ -138,6 +138,20 @@ def test_consistent_table(spark, rows):
     assert repr(rows(table)) == repr(sorted([(1, 2.0, "x", 1, None), (2, 2.5, None, 3, None), (2, float("nan"), None, 4, None)], key=repr))
 
 
+def test_consistent_table_keeps_long_numbers(spark, rows):
+    files = spark.createDataFrame([(1, 1, T(1), "a,b,c,d\n9223372036854775807,-9223372036854775809,1e400,000000000000000000000000007\n"), (2, 1, T(2), "a,b,c,d\n-9223372036854775808,1.5,2,8\n")], SCHEMA)
+    table = drift.consistent_table(files)
+    assert [t for _, t in table.dtypes] == ["bigint", "bigint", "string", "string", "bigint"]
+    assert rows(table) == sorted([(1, (1 << 63) - 1, "-9223372036854775809", "1e400", 7), (2, -(1 << 63), "1.5", "2", 8)], key=repr)
+
+
+def test_consistent_table_of_names_that_differ_in_case(spark, rows):
+    files = spark.createDataFrame([(1, 1, T(1), "a,A,a_1,B\n1,x,2,3\n"), (2, 1, T(2), "b,A\n4,y\n"), (3, 1, T(3), "a\n5\n")], SCHEMA)
+    table = drift.consistent_table(files)
+    assert table.dtypes == [("file_id", "bigint"), ("A", "string"), ("B", "bigint"), ("a_1", "bigint"), ("a_2", "bigint")]
+    assert rows(table) == sorted([(1, "x", 3, 2, 1), (2, "y", 4, None, None), (3, None, None, None, 5)], key=repr)
+
+
 @pytest.mark.parametrize(("a", "b", "same"), [("7", "7.0", True), ("7", "07", True), ("nan", "NaN", True), ("", " ", True), ("x", "X", False), ("123456789012", "1.23456789012e11", True), ("9007199254740993", "9007199254740992", False), ("-0", "0", True), ("1e400", "2", False)])
 def test_canonical(a, b, same):
     assert (drift.canonical(a) == drift.canonical(b)) == same
