@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from profloom.functions.naming import quoted
 from profloom.functions.types import FLOATS, INTEGERS
 
 # Names of keys, box columns and image files that stored identifiers depend on.
@@ -184,24 +186,11 @@ def file_value(value: Column) -> Column:
     return F.when(F.length(path) > 1, F.regexp_replace(path, "(?<=.)/$", "")).otherwise(path)
 
 
-def looks_like_image(value: str) -> bool:
-    return value.lower().endswith(IMAGE_SUFFIXES)
-
-
-def image_columns(df: DataFrame, sample: int = 5) -> list[str]:
-    """Text columns of which one of the first ``sample`` values that aren't null names an image file.
-
-    A sampling operator: it reads the first rows, and further ones only of columns that are null there.
-    """
+def image_columns(df: DataFrame) -> list[str]:
+    """Text columns of which some value names an image file; one pass over all values, so their order doesn't matter."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not texts:
         return []
-    first = df.select(*(F.col(f"`{n}`") for n in texts)).take(20 * sample)
-    out = []
-    for i, n in enumerate(texts):
-        values = [r[i] for r in first if r[i] is not None][:sample]
-        if len(values) < sample and len(first) == 20 * sample:
-            values = [r[0] for r in df.where(F.col(f"`{n}`").isNotNull()).select(F.col(f"`{n}`")).take(sample)]
-        if any(looks_like_image(v) for v in values):
-            out.append(n)
-    return out
+    ends = "(" + "|".join(map(re.escape, IMAGE_SUFFIXES)) + ")$"
+    found = df.agg(*(F.max(F.lower(F.col(quoted(n))).rlike(ends)).alias(str(i)) for i, n in enumerate(texts))).first()
+    return [n for n, hit in zip(texts, found) if hit]

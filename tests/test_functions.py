@@ -158,6 +158,11 @@ def test_file_values_and_image_columns(spark, rows):
     assert ids.image_columns(df) == ["f"] and ids.image_columns(df.select("g", "h")) == [] and ids.image_columns(spark.range(2)) == []
 
 
+def test_image_columns_do_not_depend_on_the_order(spark):
+    df = spark.createDataFrame([("n/a", "x", None)] * 150 + [("b.Tiff", "x.tiff.txt", None)], "f string, g string, h string")
+    assert ids.image_columns(df) == ["f"] == ids.image_columns(df.orderBy("f")) and ids.image_columns(df.limit(0)) == []
+
+
 def test_drop_null_keeps_nan(spark, rows):
     df = spark.createDataFrame([(1, float("nan")), (2, None), (None, 1.0)], "a int, b double")
     assert repr(rows(pages.drop_null_rows(df))) == "[(1, nan)]"
