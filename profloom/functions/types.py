@@ -22,6 +22,7 @@ _SPARK = {"float": T.FloatType(), "double": T.DoubleType(), "int": T.IntegerType
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATS = (T.FloatType, T.DoubleType)
+NOT_TEXT = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)  # give way to text
 
 
 def named_type(name: str) -> T.DataType:
@@ -57,14 +58,14 @@ def split_numeric(schema: T.StructType) -> tuple[list[str], list[str]]:
 
 
 def promoted(base: T.DataType, other: T.DataType) -> T.DataType:
-    """The type that holds both: null gives way, integer and float meet in double, else the base's type stays."""
+    """The type that holds both: null gives way, integer and float meet in double, numbers and text in text, else the base's type stays."""
     if isinstance(base, T.NullType):
         return other
     if is_numeric(base) and is_numeric(other) and type(base) is not type(other):
         if isinstance(base, INTEGERS) and isinstance(other, INTEGERS):
             return max(base, other, key=lambda t: INTEGERS.index(type(t)))
         return T.DoubleType()
-    return base
+    return other if isinstance(other, T.StringType) and isinstance(base, NOT_TEXT) else base
 
 
 def common_schema(schemas: Sequence[T.StructType], casts: Mapping[str, str] | None = None) -> tuple[T.StructType, list[str]]:

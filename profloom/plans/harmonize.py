@@ -61,12 +61,18 @@ def union_all(parts: Sequence[DataFrame], casts: Casts = None, infer: bool = Tru
     return reduce(DataFrame.unionByName, (conform(p, schema) for p in parts))
 
 
-def _csv_parts(spark: SparkSession, sources: Sequence[Source]) -> list[DataFrame]:
+def _csv_parts(spark: SparkSession, sources: Sequence[Source], infer: bool = True) -> list[DataFrame]:
     sources = delimited.readable(sources)
     numbered = [(s.path, s.table_number) for s in sources if s.table_number is not None]
     numbers = spark.createDataFrame(numbered, "path string, TableNumber bigint") if numbered else None
     known = delimited.sound(spark, sources)
-    return [delimited.scan_files(spark, [s.path for s in files], names, schema, numbers) for names, (files, schema) in known.items()]
+    # what is text in some file is read as the text it is in all, not by way of a number
+    texts = {f.name for _, schema in known.values() for f in schema.fields if isinstance(f.dataType, T.StringType)} if infer else set()
+    parts = []
+    for names, (files, schema) in known.items():
+        read = T.StructType([T.StructField(f.name, T.StringType() if f.name in texts else f.dataType) for f in schema.fields])
+        parts.append(delimited.scan_files(spark, [s.path for s in files], names, read, numbers))
+    return parts
 
 
 def _sqlite_parts(spark: SparkSession, sources: Sequence[Source]) -> list[DataFrame]:
@@ -81,7 +87,7 @@ def read_group(spark: SparkSession, group: str, sources: Sequence[Source], kind:
     """One group as a DataFrame in harmonized types and names."""
     if kind == "npz":
         return npz.read_npz(spark, sources)
-    parts = _csv_parts(spark, sources) if kind == "csv" else _sqlite_parts(spark, sources)
+    parts = _csv_parts(spark, sources, infer) if kind == "csv" else _sqlite_parts(spark, sources)
     df = cast_types(union_all(parts, casts, infer), casts)
     return df.toDF(*prefixed_names(df.columns, group, config.identifying_columns, config.metadata, config.compartments))
 

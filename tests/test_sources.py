@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from profloom.errors import DatatypeException, NoInputDataException, SchemaException
-from profloom.plans import profiles
+from profloom.plans import harmonize, profiles
 from profloom.sources import delimited, discovery, images, npz, sinks, sqlite
 from profloom.sources.discovery import Source
 from profloom.warehouse import images as picture_tables
@@ -99,6 +99,20 @@ def test_malformed_csv_files_are_left_out(tmp_path, spark, rows, caplog):
         delimited.read_csv(spark, [str(tmp_path / "short.csv")])
 
 
+@pytest.mark.parametrize("order", ["ab", "ba"])
+def test_numbers_and_texts_of_different_headers(tmp_path, spark, rows, order):
+    put(tmp_path, a="x,Count,a\n1,007,\n2,1.50,\n", b="Count,x\nn/a,3\n8,4\n")
+    paths = [str(tmp_path / f"{n}.csv") for n in order]
+    expected = sorted([(1, "007"), (2, "1.50"), (3, "n/a"), (4, "8")], key=repr)
+    assert rows(delimited.read_csv(spark, paths), "x", "Count") == expected
+    assert rows(harmonize.union_all(harmonize._csv_parts(spark, [Source(p) for p in paths])), "x", "Count") == expected
+
+
+def test_numbers_and_texts_meet_in_text(spark, rows):
+    number, text = spark.createDataFrame([(1, True)], "c int, f boolean"), spark.createDataFrame([("n/a", "no")], "c string, f string")
+    assert rows(harmonize.union_all([number, text])) == rows(harmonize.union_all([text, number])) == sorted([("1", "true"), ("n/a", "no")], key=repr)
+
+
 def database(path, n=100):
     with sqlite3.connect(path) as db:
         db.execute("CREATE TABLE tbl_a (col_integer INTEGER NOT NULL, col_text TEXT, col_blob BLOB, col_real DOUBLE, flag BOOLEAN, day DATE, size VARCHAR(64))")
