@@ -4,16 +4,16 @@ Pre-tokenisation works on arrays instead of a regular expression. Each code poin
 class is a function on the states of a small automaton; an associative scan composes these functions
 (by table, over the finite monoid that they generate) until every prefix is a constant function,
 which is after two doublings for this automaton, however long the text. The states, the classes
-and the next class give the boundaries. The slices between them are hashed with one prefix sum,
-distinct slices are looked up in a cache that lasts as long as the Python worker, and only new ones
-go through pair merging, which merges all new slices at once, round by round.
+and the next class give the boundaries. Distinct slices between them are looked up in a cache that
+lasts as long as the Python worker, and only new ones go through pair merging, which merges all new
+slices at once, round by round.
 
 Defined cases: null and empty texts give an empty list; strings of special tokens are ordinary text;
 texts of any length are encoded whole, in segments cut where a token begins in any context; ids keep
 their byte offsets on request, and :meth:`ByteBPE.decode` inverts the encoding exactly.
 
-Slices are told apart by 64-bit hashes: among ten million distinct slices of one worker the chance of
-any confusion is below 1 in 300 000.
+Slices are told apart by their bytes, never by a hash alone: up to seven bytes and their number fill
+one 64-bit word, up to fifteen two, and longer slices are byte strings, which the cache compares in full.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 SEGMENT = 1 << 20  # bytes that are worked on at once
 CACHED = 2_000_000  # distinct slices after which a worker's cache starts anew
+CACHED_BYTES = 128 << 20  # bytes of long slices after which it does
 
 # Classes of code points, and the states of the automaton after a code point.
 EDGE, SPACE, WHITE, LETTER, NUMBER, OTHER, QUOTE, L_STMD, L_RV, L_L, L_E = range(11)
@@ -178,16 +180,10 @@ class ByteBPE:
         return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)
 
     def _fresh(self) -> None:
-        self.cache: dict[int, int] = {}
+        self._fresh_cache()
         self.pool = np.zeros(1 << 16, np.int32)
-        self.pool_end = 0
         self.at = np.zeros(1 << 14, np.int64)
         self.n_ids = np.zeros(1 << 14, np.int32)
-        rng = np.random.default_rng(0x5EED)
-        self.salt = rng.integers(1, 1 << 62, 256, dtype=np.uint64) | np.uint64(1)
-        base = int(rng.integers(1 << 60, 1 << 62)) | 1
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.powers = self.inverses = np.ones(1, np.uint64)
 
     def __getstate__(self) -> dict:
         keep = ("pieces", "byte_ids", "merged", "bits", "probes", "slot_key", "slot_rank", "classes")
@@ -255,36 +251,26 @@ class ByteBPE:
 
     def _slots(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """The cache slot of each slice of ``data``; new slices are encoded first."""
-        size = len(data)
-        if size >= len(self.powers):
-            count = max(size + 1, SEGMENT + 4096)
-            for name, base in (("powers", self.base), ("inverses", self.inverse)):
-                p = np.full(count, base, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.cumprod(p, dtype=np.uint64))
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(self.salt[data] * self.powers[:size], out=sums[1:])
-        hashes = (sums[start + length] - sums[start]) * self.inverses[start]
-        hashes ^= length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        codes, distinct = pd.factorize(hashes)
-        if len(self.cache) + len(distinct) > CACHED:
+        codes, keys, long_bytes = _distinct(data, start, length)
+        if len(self.cache) + len(keys) > CACHED or self.long_bytes + long_bytes > CACHED_BYTES:
             self._fresh_cache()
-        cache = self.cache
-        slot = np.fromiter((cache.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
+        slot = np.fromiter(map(self.cache.get, keys, repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(slot < 0)
         if len(new):
-            first = np.empty(len(distinct), np.int64)
+            first = np.empty(len(keys), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             s, n = start[first[new]], length[first[new]]
             ids, counts = self.merge(data[_ranges(s, n)], n)
-            slot[new] = self._keep(distinct[new], ids, counts)
+            slot[new] = self._keep([keys[i] for i in new.tolist()], ids, counts)
+            self.long_bytes += int(n[n > 15].sum())
         return slot[codes]
 
     def _fresh_cache(self) -> None:
-        self.cache, self.pool_end = {}, 0
+        self.cache: dict[int | bytes, int] = {}
+        self.pool_end = self.long_bytes = 0
 
-    def _keep(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        slots = np.arange(len(self.cache), len(self.cache) + len(hashes))
+    def _keep(self, keys: list[int | bytes], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        slots = np.arange(len(self.cache), len(self.cache) + len(keys))
         if slots[-1] >= len(self.at):
             grown = max(2 * len(self.at), int(slots[-1]) + 1)
             self.at, self.n_ids = np.resize(self.at, grown), np.resize(self.n_ids, grown)
@@ -294,7 +280,7 @@ class ByteBPE:
         self.at[slots] = self.pool_end + np.cumsum(counts) - counts
         self.n_ids[slots] = counts
         self.pool_end += len(ids)
-        self.cache.update(zip(hashes.tolist(), slots.tolist()))
+        self.cache.update(zip(keys, slots.tolist()))
         return slots
 
     def _segment(self, data: np.ndarray, cuts: np.ndarray, ids: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -348,6 +334,34 @@ class ByteBPE:
         return list(zip([0, *ends[:-1]], ends)) if ids else []
 
 
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)  # masks of the first n bytes of a word
+
+
+def _distinct(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, list[int | bytes], int]:
+    """(number of each slice, the same for equal slices; the key of each number; bytes in keys that are byte strings)."""
+    codes, keys = np.empty(len(start), np.int64), []
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    word = np.ndarray(len(data) + 9, np.dtype("<u8"), padded, strides=(1,))  # the eight bytes from each byte on
+    sized = length.astype(np.uint64) << np.uint64(56)
+    short, long = np.flatnonzero(length < 8), np.flatnonzero(length > 15)
+    middle = np.flatnonzero((length > 7) & (length < 16))
+
+    codes[short], found = pd.factorize((word[start[short]] & _LOW[length[short]]) | sized[short])
+    keys += found.tolist()
+    low, high = word[start[middle]], (word[start[middle] + 8] & _LOW[length[middle] - 8]) | sized[middle]
+    (a, lows), (b, highs) = pd.factorize(low), pd.factorize(high)
+    both, found = pd.factorize(a * max(1, len(highs)) + b)
+    codes[middle] = both + len(keys)
+    a, b = np.divmod(found, max(1, len(highs)))
+    keys += [x | y << 64 for x, y in zip(lows[a].tolist(), highs[b].tolist())]
+    raw, known = data.tobytes() if len(long) else b"", {}
+    at = len(keys)
+    for i, s, n in zip(long.tolist(), start[long].tolist(), length[long].tolist()):
+        codes[i] = known.setdefault(raw[s : s + n], at + len(known))
+    return codes, keys + list(known), sum(map(len, known))
+
+
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, … (length[0] numbers), start[1], …"""
     ends = np.cumsum(length)

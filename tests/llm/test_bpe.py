@@ -104,3 +104,31 @@ def test_other_columns_and_empty_tables(spark):
     assert bpe.encode_corpus(df.limit(0)).collect() == []
     named = df.select("key", "text", "doc_id")
     assert bpe.count_tokens(named, key="key").columns == ["key", "n_tokens"]
+
+
+def _alternation(n):
+    """A word of n letters and its complement: sums of their letters over powers of any odd base agree modulo 2^64 from 1 024 letters on."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_slices_are_told_apart_by_their_bytes(vocabulary, reference, n):
+    word, complement = _alternation(n)
+    for texts in ([word, complement], [complement, word], [word + " " + complement, complement + " " + word]):
+        assert split(bpe.ByteBPE(vocabulary), texts) == reference(texts)
+        apart = bpe.ByteBPE(vocabulary)
+        assert [apart.encode(t) for t in texts] == reference(texts)
+
+
+def test_slices_of_every_length(encoder, reference):
+    texts = ["x" * n + end for n in range(40) for end in ("", "y", "\x00", "\x00\x00", "é")] + ["\x00" * n for n in range(40)]
+    assert split(encoder, texts) == reference(texts)
+    assert [encoder.encode(t) for t in texts] == reference(texts)
+
+
+def test_long_slices_start_the_cache_anew(vocabulary, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_BYTES", 3000)
+    e = bpe.ByteBPE(vocabulary)
+    texts = ["ab" * n for n in range(500, 540)] * 2
+    assert [e.encode(t) for t in texts] == reference(texts)

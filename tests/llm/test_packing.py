@@ -92,3 +92,14 @@ def test_documents(spark, documents):
     assert all(0 <= r["n_free"] < packing.CAPACITY or r["n_tokens"] == 0 for r in report)
     assert len(report) <= -(-total // packing.CAPACITY) + max(2, 0.02 * len(report))
     assert packing.pack_documents(documents.limit(0)).collect() == []
+
+
+def test_sizes_of_slices_that_agree_in_sums(spark, vocabulary):
+    """Sizes don't depend on which texts share a worker, even where sums of letters over powers agree."""
+    from profloom.llm.bpe import ByteBPE, count_tokens
+
+    word = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    texts = [word, word.translate(str.maketrans("ab", "ba"))] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    sizes = {r["doc_id"]: r["n_tokens"] for r in count_tokens(df).collect()}
+    assert sizes == {i: len(ByteBPE(vocabulary).encode(t)) for i, t in enumerate(texts)}
