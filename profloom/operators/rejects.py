@@ -121,11 +121,17 @@ def structural_index(records: pa.Array) -> Structure:
     return Structure(values, first, broken)
 
 
+# The digits of the largest and of the smallest whole number of 64 bits.
+LARGEST, SMALLEST = "9223372036854775807", "9223372036854775808"
+
+
 def _fits_64_bits(texts: pa.Array) -> np.ndarray:
-    ok = np.ones(len(texts), bool)
-    for i in np.flatnonzero(np.asarray(pc.greater(pc.binary_length(texts), 18))):
-        ok[i] = -(1 << 63) <= int(texts[int(i)].as_py()) < 1 << 63
-    return ok
+    """Of texts that match WHOLE: whether the number fits, told by its digits, however many there are."""
+    digits = pc.utf8_ltrim(pc.utf8_ltrim(texts, "-"), "0")
+    size = pc.binary_length(digits)
+    most = pc.if_else(pc.starts_with(texts, "-"), SMALLEST, LARGEST).cast(digits.type)
+    fits = pc.or_(pc.less(size, len(LARGEST)), pc.and_(pc.equal(size, len(LARGEST)), pc.less_equal(digits, most)))
+    return fits.to_numpy(zero_copy_only=False)
 
 
 def _real_moment(texts: pa.Array) -> np.ndarray:

@@ -115,3 +115,16 @@ def test_whole_table_against_a_reader(spark, data):
             assert got[r["raw_id"]] == expected
         else:
             assert got.get(r["raw_id"]) in (None, "value")
+
+
+@pytest.mark.parametrize("digits", [19, 20, 400, 5000, 100_000])
+def test_whole_numbers_of_any_length(digits):
+    texts = ["1" * digits, "-" + "9" * digits, "0" * digits, "-" + "0" * digits + "7", "0" * digits + "9223372036854775807", "0" * digits + "9223372036854775808", "-" + "0" * digits + "9223372036854775808"]
+    assert rejects.has_form(pa.array(texts), "whole").tolist() == [digits == 19, False, True, True, True, False, True]
+    reason, _ = check(["N," + t for t in texts])
+    assert reason.tolist() == ["" if ok else "value" for ok in (digits == 19, False, True, True, True, False, True)]
+
+
+def test_whole_numbers_near_the_limits():
+    texts = [f"{sign}{x + d}" for sign in ("", "-") for x in (1 << 63, 10**18, 10**19) for d in range(-2, 3)]
+    assert rejects.has_form(pa.array(texts), "whole").tolist() == [-(1 << 63) <= int(t) < 1 << 63 for t in texts]
