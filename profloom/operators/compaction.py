@@ -37,6 +37,8 @@ from pyspark.sql import Window
 
 from profloom.runtime import slices
 
+csv.field_size_limit((1 << 31) - 1)  # cells may be very long
+
 RECORD = ("ImageNumber", "ObjectNumber", "c0")
 KEY = ("table_number", "image_number", "object_number", "c0")
 FEW_FILES = 250_000  # whose groups are small enough to broadcast: 4 MB

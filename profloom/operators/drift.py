@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 
 from profloom.runtime import cut_lineage, global_sequence, slices
 
+csv.field_size_limit((1 << 31) - 1)  # cells may be very long
+
 KEY_FIELD = "ImageNumber"
 KINDS = ("none", "whole", "number", "text")  # the lattice, a chain
 WHOLE = re.compile(r"-?[0-9]+")
@@ -81,17 +83,31 @@ def kinds_in(at: dict[str, int], records: list[list[str]]) -> dict[str, int]:
 
 
 def canonical(cell: str) -> str:
-    """A text that is the same for equal texts and for equal numbers."""
-    if WHOLE.fullmatch(cell):
-        return str(int(cell)) if len(cell) <= 15 else _long_whole(cell)
-    if NUMBER.fullmatch(cell):
-        x = float(cell)
-        return str(int(x)) if x.is_integer() and abs(x) < 1e15 else repr(x)
-    return "" if not cell.strip() else "t" + cell
+    """A text that is the same for equal texts and for equal numbers, whatever their length.
 
-
-def _long_whole(cell: str) -> str:
-    return repr(float(cell)) if float(int(cell)) == int(cell) else str(int(cell))
+    Numbers are equal if they are so as decimals: significant digits without zeros at their ends, and the power of ten behind them.
+    """
+    if NUMBER.fullmatch(cell) is None:
+        return "" if not cell.strip() else "t" + cell
+    if cell[-1] in "nN":
+        return "nan"
+    mantissa, _, power = cell.lower().partition("e")
+    before, _, behind = mantissa.lstrip("-").partition(".")
+    digits = (before + behind).lstrip("0")
+    kept = digits.rstrip("0")
+    if not kept:
+        return "0"
+    exponent = len(digits) - len(kept) - len(behind) + (_integer(power) if power else 0)
+    return f"{'-' if cell[0] == '-' else ''}{kept}e{exponent:x}"
+
+
+def _integer(text: str) -> int:
+    """A whole number of any length; ``int`` takes 4 300 digits at most."""
+    digits, value = text.lstrip("+-"), 0
+    for i in range(0, len(digits), 4000):
+        part = digits[i : i + 4000]
+        value = value * 10 ** len(part) + int(part)
+    return -value if text[0] == "-" else value
 
 
 def kind_of(cells: Iterator[str]) -> int:

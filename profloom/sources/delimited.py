@@ -27,6 +27,7 @@ from profloom.functions.types import common_schema, conform
 from profloom.sources.discovery import Source
 
 log = logging.getLogger(__name__)
+csv.field_size_limit((1 << 31) - 1)  # cells may be very long
 
 # Texts of each type, narrowest first; all-blank columns have none.
 KINDS: tuple[tuple[str, T.DataType], ...] = (

@@ -152,6 +152,29 @@ def test_consistent_table_of_names_that_differ_in_case(spark, rows):
     assert rows(table) == sorted([(1, "x", 3, 2, 1), (2, "y", 4, None, None), (3, None, None, None, 5)], key=repr)
 
 
-@pytest.mark.parametrize(("a", "b", "same"), [("7", "7.0", True), ("7", "07", True), ("nan", "NaN", True), ("", " ", True), ("x", "X", False), ("123456789012", "1.23456789012e11", True), ("9007199254740993", "9007199254740992", False), ("-0", "0", True), ("1e400", "2", False)])
+@pytest.mark.parametrize(("a", "b", "same"), [("7", "7.0", True), ("7", "07", True), ("nan", "NaN", True), ("", " ", True), ("x", "X", False), ("123456789012", "1.23456789012e11", True), ("9007199254740993", "9007199254740992", False), ("-0", "0", True), ("1e400", "2", False), ("-123456789012345", "-123456789012345.0", True), ("0000000000000005", "5", True), ("1e400", "10e399", True), ("1" * 400, "1" * 400 + ".0", True), ("1" * 5000, "1" * 4999 + "2", False), (".5", "0.50", True), ("1e" + "9" * 5000, "1e" + "0" * 9 + "9" * 5000, True), ("-nan", "nan", False)])
 def test_canonical(a, b, same):
     assert (drift.canonical(a) == drift.canonical(b)) == same
+
+
+def test_canonical_against_decimal():
+    import random
+    from decimal import Decimal
+
+    random.seed(4)
+    part = lambda n: "".join(random.choice("0012") for _ in range(random.randint(0, n)))
+    cells = {f"{random.choice(['', '-'])}{part(3) or '0'}{random.choice(['', '.'])}{part(3)}{random.choice(['', 'e1', 'E-2', 'e+03', 'e0'])}" for _ in range(4000)}
+    cells = [c for c in cells if drift.NUMBER.fullmatch(c)]
+    by_form, by_value = {}, {}
+    for c in cells:
+        by_form.setdefault(drift.canonical(c), set()).add(c)
+        by_value.setdefault(Decimal(c), set()).add(c)
+    assert sorted(map(sorted, by_form.values())) == sorted(map(sorted, by_value.values()))
+
+
+def test_very_long_numbers_and_cells(spark, rows):
+    long, text = "7" * 5000, "x" * 300_000
+    files = [(1, 1, T(1), f"ImageNumber,A,B\n1,{long},{text}\n"), (2, 1, T(2), f"ImageNumber,C,D\n1,{long}.0,{text}\n")]
+    assert changes(spark, rows, files) == [(2, "C", "renamed"), (2, "C", "retyped"), (2, "D", "renamed")]
+    table = drift.consistent_table(spark.createDataFrame(files, SCHEMA))
+    assert rows(table, "A", "B", "C", "D") == sorted([(long, text, None, None), (None, None, f"{long}.0", text)], key=repr)
