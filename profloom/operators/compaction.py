@@ -1,11 +1,12 @@
 """Far too many small files: consolidate tiny delimited files into a few well-sized ones.
 
-1. *Schedule.* Files are assigned to a fixed number of output groups, longest first, each to the
-   least-loaded group of a heap. Very long file lists are first spread by hash over lanes of bounded
-   length, each with its own share of the groups, so no task holds the whole list.
-2. *Stream.* Each group's files run through pyarrow as record batches; records that repeat within a
-   batch of the group are marked at once, so that however often one record occurs, only one copy a
-   batch goes on to the exchange by record.
+1. *Schedule.* Files are assigned to a fixed number of output groups, as many as their bytes fill at
+   the target size, longest first, each to the least-loaded group of a heap. Very long file lists are
+   first spread by hash over lanes of bounded length, each with its own share of the groups, so no
+   task holds the whole list.
+2. *Stream.* Each group's files run through pyarrow as record batches, in several tasks where there are
+   fewer groups than partitions; records that repeat within a batch are marked at once, so that
+   however often one record occurs, only one copy a batch goes on to the exchange by record.
 3. *Publish.* Groups are written under a name no other attempt uses; row counts are verified against
    the parquet footers and the records read, then one rename makes the manifest visible.
 
@@ -41,7 +42,8 @@ csv.field_size_limit((1 << 31) - 1)  # cells may be very long
 
 RECORD = ("ImageNumber", "ObjectNumber", "c0")
 KEY = ("table_number", "image_number", "object_number", "c0")
-FEW_FILES = 250_000  # whose groups are small enough to broadcast: 4 MB
+TARGET_BYTES = 512 << 20  # of delimited text in an output group: about 100 MB of Parquet
+BROADCAST_BYTES = 4 << 20  # up to which the assignment of files to groups, 16 bytes a file, is broadcast
 BATCH_RECORDS = 500_000  # within which repeats are marked before the exchange
 PARSED = "group_id bigint, file_id bigint, line_no bigint, table_number bigint, image_number double, object_number double, c0 double, repeats boolean"
 
@@ -57,11 +59,11 @@ def longest_first(sizes: list[int], n_groups: int) -> list[int]:
     return out
 
 
-def assign_groups(files: DataFrame, target_bytes: int = 64 << 20, min_groups: int = 1, lane_files: int = 200_000) -> tuple[DataFrame, int]:
-    """(file_id, n_bytes) → (file_id, group_id), and the number of files; lanes hold about ``lane_files`` files each."""
-    total = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()
-    lanes = max(1, -(-total["n"] // lane_files))
-    per_lane = max(1, -(-max(-(-total["b"] // target_bytes), min_groups) // lanes))
+def assign_groups(files: DataFrame, target_bytes: int = TARGET_BYTES, lane_files: int = 200_000) -> tuple[DataFrame, int, int]:
+    """(file_id, n_bytes) → (file_id, group_id), the number of files and that of groups; lanes hold about ``lane_files`` files each."""
+    total = files.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.greatest("n_bytes", F.lit(0))), F.lit(0)).alias("b")).first()
+    lanes = max(1, min(-(-total["n"] // lane_files), -(-total["b"] // target_bytes)))
+    per_lane = max(1, -(-total["b"] // target_bytes // lanes))
 
     def pack(key: tuple, lane: pd.DataFrame) -> pd.DataFrame:
         lane = lane.sort_values("file_id", kind="stable")
@@ -69,7 +71,7 @@ def assign_groups(files: DataFrame, target_bytes: int = 64 << 20, min_groups: in
         return pd.DataFrame({"file_id": lane["file_id"], "group_id": np.asarray(group, dtype="int64") + int(key[0]) * per_lane})
 
     lane = F.pmod(F.xxhash64("file_id"), F.lit(lanes)).alias("lane")
-    return files.select("file_id", "n_bytes", lane).groupBy("lane").applyInPandas(pack, "file_id bigint, group_id bigint"), total["n"]
+    return files.select("file_id", "n_bytes", lane).groupBy("lane").applyInPandas(pack, "file_id bigint, group_id bigint"), total["n"], lanes * per_lane
 
 
 def _split(line: str) -> list[str]:
@@ -151,12 +153,14 @@ def _mark_repeats(records: pa.Table) -> pa.Table:
     return records.append_column("repeats", pa.array(repeats))
 
 
-def parse_groups(files: DataFrame, assigned: DataFrame, n_partitions: int, few: bool = False) -> DataFrame:
+def parse_groups(files: DataFrame, assigned: DataFrame, n_partitions: int, n_groups: int = 1, small: bool = False) -> DataFrame:
     """Every record of the files, streamed group by group through pyarrow. Files without id are in group 0.
 
-    If there are ``few`` files (at most FEW_FILES, 16 bytes each), their groups are broadcast and the bodies
-    move once, to their group; else bodies and groups first meet by file.
+    If the assignment is ``small`` (at most BROADCAST_BYTES), it is broadcast and the bodies move once, to
+    their group; else bodies and groups first meet by file. A group is streamed by as many tasks as
+    there are partitions for it.
     """
+    shards = max(1, n_partitions // n_groups)
 
     def flush(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         if held:
@@ -176,9 +180,9 @@ def parse_groups(files: DataFrame, assigned: DataFrame, n_partitions: int, few:
     placed = assigned.where(F.col("file_id").isNotNull()).dropDuplicates(["file_id"])
     return (
         files.select("file_id", "table_number", "body")
-        .join(F.broadcast(placed) if few else placed, "file_id", "left")
+        .join(F.broadcast(placed) if small else placed, "file_id", "left")
         .select("file_id", "table_number", "body", F.coalesce("group_id", F.lit(0)).alias("group_id"))
-        .repartition(n_partitions, "group_id")
+        .repartition(n_partitions, "group_id", F.pmod(F.xxhash64("file_id"), F.lit(shards)))
         .sortWithinPartitions("group_id", "file_id")
         .mapInArrow(run, PARSED)
     )
@@ -195,11 +199,11 @@ def mark_copies(records: DataFrame) -> DataFrame:
     return records.withColumn("copy", F.col("repeats") | (F.row_number().over(first) > 1))
 
 
-def small_file_records(files: DataFrame, target_bytes: int = 64 << 20, min_groups: int | None = None) -> DataFrame:
+def small_file_records(files: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """All records of ``files`` (file_id, table_number, n_bytes, body) with output group and ``copy`` mark."""
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups, n_files = assign_groups(files, target_bytes, min_groups or n)
-    return mark_copies(parse_groups(files, groups, n, n_files <= FEW_FILES))
+    groups, n_files, n_groups = assign_groups(files, target_bytes)
+    return mark_copies(parse_groups(files, groups, n, n_groups, 16 * n_files <= BROADCAST_BYTES))
 
 
 def dropped_records(records: DataFrame) -> DataFrame:

@@ -53,16 +53,16 @@ ODD = [
 
 
 def test_odd_files(spark, rows):
-    records = compaction.small_file_records(frame(spark, ODD), min_groups=3)
+    records = compaction.small_file_records(frame(spark, ODD), target_bytes=10)
     dropped, seen = brute(ODD)
     assert rows(compaction.dropped_records(records)) == dropped
     assert records.where("NOT copy").count() == len(seen)
 
 
-@pytest.mark.parametrize(("batch", "few"), [(1, 0), (500_000, 250_000)])
-def test_whole_table(spark, rows, data, monkeypatch, batch, few):
+@pytest.mark.parametrize(("batch", "most"), [(1, 0), (500_000, 4 << 20)])
+def test_whole_table(spark, rows, data, monkeypatch, batch, most):
     monkeypatch.setattr(compaction, "BATCH_RECORDS", batch)
-    monkeypatch.setattr(compaction, "FEW_FILES", few)
+    monkeypatch.setattr(compaction, "BROADCAST_BYTES", most)
     files = spark.read.parquet(f"{data}/nuclei_file.parquet").select("file_id", "table_number", "n_bytes", "body")
     dropped, _ = brute([tuple(r) for r in files.collect()])
     assert rows(compaction.dropped_records(compaction.small_file_records(files))) == dropped
@@ -72,9 +72,9 @@ def test_empty_table(spark, rows):
     assert rows(compaction.dropped_records(compaction.small_file_records(frame(spark, [])))) == []
 
 
-@pytest.mark.parametrize("few", [0, 250_000])
-def test_rows_of_one_file_id(spark, rows, monkeypatch, few):
-    monkeypatch.setattr(compaction, "FEW_FILES", few)
+@pytest.mark.parametrize("most", [0, 4 << 20])
+def test_rows_of_one_file_id(spark, rows, monkeypatch, most):
+    monkeypatch.setattr(compaction, "BROADCAST_BYTES", most)
     records = compaction.small_file_records(frame(spark, [(1, 1, 9, f"{HEAD}\n1,1,1,1,1")] * 3))
     assert records.count() == 3 and rows(compaction.dropped_records(records)) == [(1, 2), (1, 2)]
 
@@ -97,14 +97,14 @@ def test_longest_first():
 
 def test_lanes_keep_groups_apart(spark):
     files = spark.createDataFrame([(i, 10) for i in range(100)], "file_id bigint, n_bytes bigint")
-    groups, n = compaction.assign_groups(files, target_bytes=100, lane_files=30)
-    assert n == 100
+    groups, n, n_groups = compaction.assign_groups(files, target_bytes=100, lane_files=30)
+    assert n == 100 and n_groups == 12
     groups = groups.toPandas()
     assert sorted(groups["file_id"]) == list(range(100)) and groups["group_id"].nunique() >= 10
 
 
 def test_publish(spark, rows, tmp_path):
-    records = compaction.small_file_records(frame(spark, ODD), min_groups=3)
+    records = compaction.small_file_records(frame(spark, ODD), target_bytes=10)
     _, seen = brute(ODD)
     for _ in range(2):  # publishing again replaces the manifest
         manifest = compaction.publish(records, str(tmp_path / "out"), 3)
@@ -115,3 +115,19 @@ def test_publish(spark, rows, tmp_path):
     empty = compaction.small_file_records(frame(spark, []))
     assert compaction.publish(empty, str(tmp_path / "none"), 2)["files"] == []
     assert compaction.read_published(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize(("partitions", "target", "n_files"), [(8, 512 << 20, 1), (200, 512 << 20, 1), (8, 4000, 6), (64, 4000, 6)])
+def test_output_follows_the_size_alone(spark, data, tmp_path, partitions, target, n_files):
+    files = spark.read.parquet(f"{data}/nuclei_file.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        manifest = compaction.publish(compaction.small_file_records(files, target), str(tmp_path / "out"), partitions)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    total = files.agg({"n_bytes": "sum"}).first()[0]
+    assert len(manifest["files"]) == -(-total // target)
+    rows = [f["n_rows"] for f in manifest["files"]]
+    assert min(rows) >= 0.6 * sum(rows) / len(rows)
+    assert n_files == 1 or len(rows) >= n_files
