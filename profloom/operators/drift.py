@@ -1,19 +1,20 @@
 """Schemas that drift between files: one consistent table and a report of each change.
 
-Header and value kinds of every file are read in parallel; a file is compared with the one before it
-in its series; the kinds of each field are then folded in order along the series, and over all files
+Headers and values of every file are read in parallel; a file is compared with the one before it
+in its series; the kinds of each field are folded in order along the series, and over all files
 through the lattice ``none < whole < number < text`` into the schema of one table.
 
-No task holds a series: files are numbered in order by range partitions, pairs of neighbours meet by
-their number, and the fold runs over blocks of ``block`` files. Each block first yields the state at
-its end in terms of the (unknown) state at its start; these small states are chained, then each block
-runs again from its known start.
+No task holds a series: files are put in order by range partitions, and each partition is one stream
+in which a file meets the one before it, so bodies move once and are parsed once. What a partition
+can't know, the file before its first one and the kinds its fields had until then, stays symbolic:
+the stream gives its ends and the retypings that hang on it as one small row. These rows, one per
+partition, are compared with their neighbours and chained.
 
 Defined cases: empty bodies have no fields; a byte-order mark is dropped; of fields named twice in a
 header the first counts; cells missing from a short line are blank, surplus cells are ignored; blank
 is empty or white space; of several lines of one image (a blank is one)
 the first counts for renames and all count for kinds; null bodies are empty;
-files of a null series form one series, null times come first, ties follow file_id; a row that
+files of a null series form one series, null times come first, ties follow file_id, then the body; a row that
 occurs again is a file of its own, without changes.
 """
 
@@ -25,61 +26,64 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from itertools import count
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain, count
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profloom.runtime import cut_lineage, global_sequence, slices
+from profloom.runtime import materialize, shuffle_partitions, slices
 
 csv.field_size_limit((1 << 31) - 1)  # cells may be very long
 
 KEY_FIELD = "ImageNumber"
 KINDS = ("none", "whole", "number", "text")  # the lattice, a chain
-WHOLE = re.compile(r"-?[0-9]+")
-NUMBER = re.compile(r"-?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[nN][aA][nN]")
+_WHOLE = r"-?[0-9]+"
+_NUMBER = r"-?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[nN][aA][nN]"
+WHOLE, NUMBER = re.compile(_WHOLE), re.compile(_NUMBER)
+NOT_BLANK = r"[^\t-\r\x1c-\x20\x85\pZ]"  # a sign that isn't white space
 
 
-def parse_export(body: str | None) -> tuple[list[str], list[list[str]]]:
-    """Header and records of one export, each record as long as the header."""
-    body = (body or "").removeprefix("﻿")
-    lines = [x for x in csv.reader(io.StringIO(body, newline="")) if x]
-    if not lines:
-        return [], []
-    names = lines[0]
-    return names, [(x + [""] * (len(names) - len(x)))[: len(names)] for x in lines[1:]]
-
-
-def fields_of(body: str | None) -> tuple[dict[str, int], list[list[str]]]:
-    """Field names in order with their places, and all records."""
-    names, records = parse_export(body)
-    at: dict[str, int] = {}
-    for i, n in enumerate(names):
-        at.setdefault(n, i)
-    return at, records
+@dataclass
+class Export:
+    """One file: field names in order, and the cells of each."""
 
+    names: list[str]
+    columns: list[Sequence[str]]
+    n: int
 
-def by_image(at: dict[str, int], records: list[list[str]]) -> dict[str, dict[str, str]]:
-    """Of each field the cell by image, of the first record of an image."""
-    key = at.get(KEY_FIELD)
-    rows: dict[str, list[str]] = {}
-    for k, r in enumerate(records):
-        rows.setdefault(canonical(r[key]) if key is not None else f"#{k}", r)
-    return {f: {k: r[i] for k, r in rows.items()} for f, i in at.items()}
+    @cached_property
+    def place(self) -> dict[str, int]:
+        return {n: i for i, n in enumerate(self.names)}
 
+    @cached_property
+    def images(self) -> dict[str, int]:
+        """The first record of each image."""
+        out: dict[str, int] = {}
+        if KEY_FIELD in self.place:
+            for k, cell in enumerate(self.columns[self.place[KEY_FIELD]]):
+                out.setdefault(canonical(cell), k)
+        return out
 
-def columns_of(body: str | None) -> tuple[list[str], dict[str, dict[str, str]]]:
-    """Field names in order, and of each field the cell by image."""
-    at, records = fields_of(body)
-    return list(at), by_image(at, records)
 
-
-def kinds_in(at: dict[str, int], records: list[list[str]]) -> dict[str, int]:
-    """The kind of each field over all records, those of one image too."""
-    return {f: kind_of(r[i] for r in records) for f, i in at.items()}
+def parse_export(body: str | None) -> Export:
+    """The header and the records of one export, each as long as the header."""
+    lines = [x for x in csv.reader(io.StringIO((body or "").removeprefix("\ufeff"), newline="")) if x]
+    if not lines:
+        return Export([], [], 0)
+    width = len(lines[0])
+    records = [x if len(x) == width else (x + [""] * (width - len(x)))[:width] for x in lines[1:]]
+    first = {}
+    for i, n in enumerate(lines[0]):
+        first.setdefault(n, i)
+    columns = list(zip(*records)) if records else [()] * width
+    return Export(list(first), [columns[i] for i in first.values()], len(records))
 
 
 def canonical(cell: str) -> str:
@@ -110,131 +114,183 @@ def _integer(text: str) -> int:
     return -value if text[0] == "-" else value
 
 
-def kind_of(cells: Iterator[str]) -> int:
-    """The widest kind of the cells that aren't blank, as an index of KINDS."""
-    widest = 0
-    for c in cells:
-        if c.strip():
-            widest = max(widest, 1 if WHOLE.fullmatch(c) else 2 if NUMBER.fullmatch(c) else 3)
-            if widest == 3:
-                break
-    return widest
-
-
-def compare(body: str | None, before: str | None, first: bool) -> dict:
-    """What a file has and how it differs from the one before: fields [name, kind, name before] and removed names."""
-    at, records = fields_of(body)
-    names, kinds = list(at), kinds_in(at, records)
-    if first:
-        return {"fields": [[n, kinds[n], None] for n in names], "removed": [], "first": True}
-    cells = by_image(at, records)
-    old_names, old_cells = columns_of(before)
-    gone = [n for n in old_names if n not in cells]
-    came = [n for n in names if n not in old_cells]
-    shared = [k for k in next(iter(cells.values()), {}) if k in next(iter(old_cells.values()), {})] if KEY_FIELD in cells and KEY_FIELD in old_cells else []
+@dataclass
+class Cells:
+    """All cells of some exports in one array, field by field."""
+
+    texts: pa.Array
+    whole: np.ndarray
+    number: np.ndarray
+    filled: np.ndarray
+    starts: np.ndarray  # of each field
+
+    def widest(self, rank: np.ndarray) -> np.ndarray:
+        """The largest rank of each field, 0 without cells."""
+        out = np.zeros(len(self.starts) - 1, np.int64)
+        some = np.flatnonzero(np.diff(self.starts))
+        if len(some):
+            out[some] = np.maximum.reduceat(rank, self.starts[some])
+        return out
+
+    @property
+    def rank(self) -> np.ndarray:
+        return np.where(self.filled, 3 - self.number.astype(np.int64) - self.whole, 0)
+
+
+def cells_of(exports: Sequence[Export]) -> Cells:
+    texts = pa.array(list(chain.from_iterable(c for e in exports for c in e.columns)), pa.large_string())
+    sizes = np.array([e.n for e in exports for _ in e.columns], np.int64)
+    match = lambda pattern: pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+    return Cells(texts, match(f"^{_WHOLE}$"), match(f"^({_NUMBER})$"), match(NOT_BLANK), np.concatenate([[0], np.cumsum(sizes)]))
+
+
+def kinds_of(exports: Sequence[Export]) -> list[dict[str, int]]:
+    """Of each export the widest kind of each field over all its cells that aren't blank, as an index of KINDS."""
+    cells = cells_of(exports)
+    widest = iter(cells.widest(cells.rank).tolist())
+    return [{n: next(widest) for n in e.names} for e in exports]
+
+
+def compare(now: Export, kinds: dict[str, int], before: Export | None) -> dict:
+    """What a file has and how it differs from the one before (None: it is the first): fields [name, kind, name before] and removed names."""
+    if before is None:
+        return {"fields": [[n, kinds[n], None] for n in now.names], "removed": [], "first": True}
+    gone = [n for n in before.names if n not in now.place]
+    came = [n for n in now.names if n not in before.place]
     renamed: dict[str, str] = {}
-    for new in came:
-        value = [canonical(cells[new][k]) for k in shared]
-        if any(value):
-            for old in gone:
-                if old not in renamed.values() and value == [canonical(old_cells[old][k]) for k in shared]:
-                    renamed[new] = old
-                    break
+    if gone and came:
+        both = [(k, before.images[i]) for i, k in now.images.items() if i in before.images]
+        values = lambda e, n, rows: tuple(canonical(e.columns[e.place[n]][k]) for k in rows)
+        old: dict[tuple, list[str]] = {}
+        for n in reversed(gone):
+            old.setdefault(values(before, n, [k for _, k in both]), []).append(n)
+        for n in came:
+            value = values(now, n, [k for k, _ in both])
+            if any(value) and old.get(value):
+                renamed[n] = old[value].pop()
+    taken = set(renamed.values())
     return {
-        "fields": [[n, kinds[n], n if n in old_cells else renamed.get(n)] for n in names],
-        "removed": [n for n in gone if n not in renamed.values()],
+        "fields": [[n, kinds[n], n if n in before.place else renamed.get(n)] for n in now.names],
+        "removed": [n for n in gone if n not in taken],
         "first": False,
     }
 
 
-def step(state: dict[str, object], digest: dict) -> tuple[dict[str, object], list[tuple[str, str]]]:
-    """One file's fold: the state (field → kind last seen, 0 if none) after it and its changes, in header order.
+def step(state: dict[str, object], digest: dict) -> tuple[dict[str, object], list[tuple[str, str]], list[tuple[str, int, str]]]:
+    """One file's fold: the state (field → kind last seen, 0 if none) after it, its changes in header order, and open retypings.
 
-    A kind may also be a tuple ("at start", field): it isn't known within this block.
+    A kind may also be the name of a field of the partition's first file, in which it isn't known; a field whose kind
+    is compared with such is open: (field, its kind, that name).
     """
     after: dict[str, object] = {}
     changes: list[tuple[str, str]] = []
+    opened: list[tuple[str, int, str]] = []
     for name, kind, before in digest["fields"]:
         last = state.get(before, 0) if before is not None and not digest["first"] else 0
         if not digest["first"] and before is None:
             changes.append((name, "added"))
         elif before is not None and before != name:
             changes.append((name, "renamed"))
-        if kind and last and not isinstance(last, tuple) and last != kind:
+        if kind and isinstance(last, str):
+            opened.append((name, kind, last))
+        elif kind and last and last != kind:
             changes.append((name, "retyped"))
         after[name] = kind or last
     changes += [(n, "removed") for n in digest["removed"]]
-    return after, changes
+    return after, changes, opened
+
 
+_CHANGES = "part int, row bigint, file_id bigint, field_name string, change string"
+_EDGES = ", n_files bigint, first_series bigint, last_series bigint, first_body string, last_body string, opened string, state string"
+_ARROW = pa.schema([
+    ("part", pa.int32()), ("row", pa.int64()), ("file_id", pa.int64()), ("field_name", pa.string()), ("change", pa.string()), ("n_files", pa.int64()),
+    ("first_series", pa.int64()), ("last_series", pa.int64()), ("first_body", pa.string()), ("last_body", pa.string()), ("opened", pa.string()), ("state", pa.string()),
+])
 
-class _Unknown(dict):
-    """The state at a block's start: every field has the kind it had there."""
 
-    def get(self, name: str, default: object = None) -> object:
-        return ("at start", name)
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in _ARROW], schema=_ARROW)
 
 
-def digest_files(files: DataFrame) -> DataFrame:
-    """(seq, series_id, file_id, digest) of every file, each compared with the file before it in its series."""
+def walk_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
+    """All files in order, partition by partition: a row per change found there, and a row (with n_files) per partition.
+
+    The row of a partition has its ends, the retypings left open, and the state after its last file.
+    """
     order = ["series_id", "exported_at", "file_id"]
-    placed = global_sequence(files.select(*order, "body"), order).select("seq", "series_id", "file_id", "body")
-    before = placed.select((F.col("seq") + 1).alias("seq"), F.col("series_id").alias("series_before"), F.col("body").alias("body_before"), F.lit(True).alias("any_before"))
-    pairs = placed.join(before, "seq", "left").select(
-        "seq", "series_id", "file_id", "body",
-        (F.coalesce("any_before", F.lit(False)) & F.col("series_before").eqNullSafe(F.col("series_id"))).alias("has_before"), "body_before",
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row, found, edge = TaskContext.get().partitionId(), 0, [], {}
+        before: tuple[int | None, Export] | None = None
+        state: dict[str, object] = {}
+        opened: list[tuple] = []
         for batch in batches:
             for p in slices(batch, 256):
-                digests = [json.dumps(compare(b, o, not h)) for b, h, o in zip(p["body"].to_pylist(), p["has_before"].to_pylist(), p["body_before"].to_pylist())]
-                yield pa.RecordBatch.from_arrays([p["seq"], p["series_id"], p["file_id"], pa.array(digests, pa.string())], names=["seq", "series_id", "file_id", "digest"])
-
-    return pairs.mapInArrow(run, "seq bigint, series_id bigint, file_id bigint, digest string")
-
-
-def fold_changes(digests: DataFrame, block: int = 50_000) -> DataFrame:
-    """(file_id, seq, field_name, change) of all files, by the two-pass fold over blocks of ``block`` files."""
-    spark = digests.sparkSession
-    blocks = digests.withColumn("block", F.expr(f"seq div {int(block)}"))
-
-    def walk(frame: pd.DataFrame, state: dict) -> Iterator[tuple]:
-        for seq, file_id, text in frame.sort_values("seq")[["seq", "file_id", "digest"]].itertuples(index=False):
-            digest = json.loads(text)
-            state, changes = step(state, digest)
-            yield seq, file_id, state, changes
-
-    def at_end(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        state: dict = {}
-        for _, _, state, _ in walk(frame, _Unknown()):
-            pass
-        return pd.DataFrame({"block": [key[0]], "state": [json.dumps(state)]})
-
-    ends = blocks.groupBy("block").applyInPandas(at_end, "block bigint, state string").collect()  # one small row per block
-    starts, state = {}, {}
-    for r in sorted(ends, key=lambda r: r["block"]):
-        starts[r["block"]] = json.dumps(state)
-        state = {n: state.get(k[1], 0) if isinstance(k, list) else k for n, k in json.loads(r["state"]).items()}
-    known = spark.createDataFrame(list(starts.items()), "block bigint, start string")
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [(f, s, n, c) for s, f, _, changes in walk(frame, json.loads(frame["start"].iloc[0])) for n, c in changes]
-        out = pd.DataFrame(rows, columns=["file_id", "seq", "field_name", "change"])
-        return out.astype({"file_id": "Int64", "seq": "Int64"})
-
-    return blocks.join(known, "block").groupBy("block").applyInPandas(run, "file_id bigint, seq bigint, field_name string, change string")
-
-
-def schema_changes(files: DataFrame, block: int = 50_000) -> DataFrame:
-    """The ordered differences of all files: (file_id, seq, field_name, change)."""
-    return fold_changes(cut_lineage(digest_files(files)), block)
-
-
-def too_long(cell: str) -> bool:
-    """Whether a whole number has no 64-bit integer, or another number no finite double."""
-    if WHOLE.fullmatch(cell):
-        return len(cell) > 18 and _whole(cell) is None
-    return len(cell) > 4 and NUMBER.fullmatch(cell) is not None and math.isinf(float(cell))
+                exports = [parse_export(b) for b in p["body"].to_pylist()]
+                for series, file_id, now, kinds in zip(p["series_id"].to_pylist(), p["file_id"].to_pylist(), exports, kinds_of(exports)):
+                    if before is None:
+                        edge = {"part": part, "file_id": file_id, "first_series": series, "first_body": p["body"][0].as_py()}
+                        state = {n: k or n for n, k in kinds.items()}
+                    else:
+                        state, changes, still = step(state, compare(now, kinds, before[1] if series == before[0] else None))
+                        found += [{"part": part, "row": row, "file_id": file_id, "field_name": n, "change": c} for n, c in changes]
+                        opened += [(row, file_id, *x) for x in still]
+                    before, row = (series, now), row + 1
+                last_body = p["body"][-1]
+                if len(found) >= 10_000:
+                    yield _rows(found)
+                    found = []
+        if before is not None:
+            edge |= {"n_files": row, "last_series": before[0], "last_body": last_body.as_py(), "opened": json.dumps(opened), "state": json.dumps(state)}
+            yield _rows([*found, edge])
+
+    ordered = files.select(*order, "body").repartitionByRange(partitions or shuffle_partitions(files.sparkSession), *order)
+    return ordered.sortWithinPartitions(*order, "body").select("series_id", "file_id", "body").mapInArrow(run, _CHANGES + _EDGES)
+
+
+def schema_changes(files: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The ordered differences of all files: (file_id, seq, field_name, change), seq being a file's place in the order."""
+    spark = files.sparkSession
+    walked = materialize(walk_files(files, partitions), "drift")
+    edges = walked.where("n_files IS NOT NULL")
+    known = sorted(map(tuple, edges.select("part", "n_files").collect()))  # numbers, two per partition
+    starts, at = [], 0
+    for i, (part, n) in enumerate(known):
+        starts.append((part, known[i - 1][0] if i else None, at))
+        at += n
+    places = spark.createDataFrame(starts, "part int, part_before int, start bigint")
+    tails = edges.select(F.col("part").alias("part_before"), F.col("last_series").alias("series_before"), F.col("last_body").alias("body_before"))
+    heads = edges.join(F.broadcast(places), "part").join(tails, "part_before", "left")
+    first = F.col("part_before").isNull() | ~F.col("first_series").eqNullSafe(F.col("series_before"))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in slices(batch, 16):
+                now = [parse_export(b) for b in p["first_body"].to_pylist()]
+                old = [None if f else parse_export(b) for f, b in zip(p["first"].to_pylist(), p["body_before"].to_pylist())]
+                digests = [json.dumps(compare(a, k, b)) for a, k, b in zip(now, kinds_of(now), old)]
+                yield pa.RecordBatch.from_arrays([p["part"], p["file_id"], p["opened"], p["state"], pa.array(digests, pa.string())], names=["part", "file_id", "opened", "state", "digest"])
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[str, object] = {}
+        for batch in batches:
+            for p in slices(batch, 16):
+                found = []
+                for part, file_id, opened, after_all, digest in zip(*(p[c].to_pylist() for c in ("part", "file_id", "opened", "state", "digest"))):
+                    after, changes, _ = step(state, json.loads(digest))
+                    found += [(part, 0, file_id, n, c) for n, c in changes]
+                    found += [(part, row, f, n, "retyped") for row, f, n, kind, head in json.loads(opened) if after[head] and after[head] != kind]
+                    state = {n: after[k] if isinstance(k, str) else k for n, k in json.loads(after_all).items()}
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], _ARROW.field(i).type) for i in range(5)], names=_ARROW.names[:5])
+
+    compared = heads.select("part", "file_id", "first_body", first.alias("first"), "body_before", "opened", "state").mapInArrow(
+        ends, "part int, file_id bigint, opened string, state string, digest string"
+    )
+    # one row per partition, streamed in order: what fields have become until then goes along
+    open_changes = compared.repartition(1).sortWithinPartitions("part").mapInArrow(chained, _CHANGES)
+    columns = ["part", "row", "file_id", "field_name", "change"]
+    all_changes = walked.where("n_files IS NULL").select(*columns).unionByName(open_changes)
+    return all_changes.join(F.broadcast(places), "part").select("file_id", (F.col("start") + F.col("row")).alias("seq"), "field_name", "change")
 
 
 def _whole(cell: str) -> int | None:
@@ -243,6 +299,17 @@ def _whole(cell: str) -> int | None:
     return value if -(1 << 63) <= value < 1 << 63 else None
 
 
+def too_long(cells: Cells) -> np.ndarray:
+    """Which cells are whole numbers without a 64-bit integer, or other numbers without a finite double."""
+    out = np.zeros(len(cells.texts), bool)
+    size = pc.binary_length(cells.texts).to_numpy(zero_copy_only=False)
+    with_power = pc.match_substring_regex(cells.texts, "[eE]").to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero((cells.whole & (size > 18)) | (cells.number & ~cells.whole & (with_power | (size > 300)))).tolist():
+        cell = cells.texts[i].as_py()
+        out[i] = _whole(cell) is None if cells.whole[i] else math.isinf(float(cell))
+    return out
+
+
 def union_columns(files: DataFrame) -> list[tuple[str, str, list[str]]]:
     """The columns of the one consistent table: name, kind (the join of all files' kinds in the lattice) and the fields they hold.
 
@@ -255,13 +322,15 @@ def union_columns(files: DataFrame) -> list[tuple[str, str, list[str]]]:
         widest: dict[str, int] = {}
         twins: set[str] = set()
         for batch in batches:
-            for body in batch.column(0).to_pylist():
-                at, records = fields_of(body)
-                spellings = Counter(n.lower() for n in at)
-                twins.update(n for n in at if spellings[n.lower()] > 1)
-                for n, kind in kinds_in(at, records).items():
-                    if widest.get(n, 0) < 3:
-                        widest[n] = 3 if kind < 3 and any(too_long(r[at[n]]) for r in records) else max(widest.get(n, 0), kind)
+            for p in slices(batch, 256):
+                exports = [parse_export(b) for b in p["body"].to_pylist()]
+                cells = cells_of(exports)
+                kinds = iter(cells.widest(np.where(too_long(cells), 3, cells.rank)).tolist())
+                for e in exports:
+                    spellings = Counter(n.lower() for n in e.names)
+                    twins.update(n for n in e.names if spellings[n.lower()] > 1)
+                    for n in e.names:
+                        widest[n] = max(widest.get(n, 0), next(kinds))
         if widest:
             yield pa.RecordBatch.from_arrays([pa.array(list(widest)), pa.array(list(widest.values()), pa.int32()), pa.array([n in twins for n in widest])], names=["name", "kind", "twin"])
 
@@ -281,33 +350,39 @@ def union_columns(files: DataFrame) -> list[tuple[str, str, list[str]]]:
     return sorted(out)
 
 
+def cast_cells(cells: list[str | None], kind: str) -> pa.Array:
+    """Cells as values of a kind; blank and missing ones are null."""
+    texts = pa.array(cells, pa.large_string())
+    if kind in ("none", "text"):
+        filled = pc.match_substring_regex(texts, NOT_BLANK)
+        return pc.if_else(filled, texts, None).cast(pa.string())
+    texts = pc.if_else(pc.match_substring_regex(texts, NOT_BLANK), texts, None)
+    if kind == "whole":
+        return pc.replace_substring_regex(texts, "^(-?)0+([0-9])", r"\1\2").cast(pa.int64())
+    return pc.replace_substring_regex(texts, r"\.$|\.([eE])", r"\1").cast(pa.float64())
+
+
 def consistent_table(files: DataFrame) -> DataFrame:
     """Every record of every file under the union schema, with its file_id; blank cells are null."""
     fields = union_columns(files)
-    types = {"none": ("string", pa.string()), "whole": ("bigint", pa.int64()), "number": ("double", pa.float64()), "text": ("string", pa.string())}
+    types = {"none": "string", "whole": "bigint", "number": "double", "text": "string"}
     names = [n for n, _, _ in fields]
     taken = {n.lower() for n in names}
     id_name = next(x for x in ("file_id", *(f"file_id_{i}" for i in range(1, len(taken) + 2))) if x.lower() not in taken)
 
-    def cast(cell: str, kind: str) -> object:
-        if not cell.strip():
-            return None
-        if kind == "whole":
-            return _whole(cell)
-        return float(cell) if kind == "number" else cell
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in slices(batch, 256):
-                ids: list = []
-                cells: list[list] = [[] for _ in names]
-                for file_id, body in zip(p["file_id"].to_pylist(), p["body"].to_pylist()):
-                    at, records = fields_of(body)
-                    ids += [file_id] * len(records)
-                    for (_, kind, held), out in zip(fields, cells):
-                        i = next((at[n] for n in held if n in at), None)
-                        out += [None] * len(records) if i is None else [cast(r[i], kind) for r in records]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, types[k][1]) for c, (_, k, _) in zip(cells, fields))], names=[id_name, *names])
-
-    schema = ", ".join([f"`{id_name}` bigint", *(f"`{n.replace('`', '``')}` {types[k][0]}" for n, k, _ in fields)])
+                exports = [parse_export(b) for b in p["body"].to_pylist()]
+                ids = p["file_id"].take(pa.array(np.repeat(np.arange(len(exports)), [e.n for e in exports])))
+                columns = []
+                for _, kind, held in fields:
+                    cells: list[str | None] = []
+                    for e in exports:
+                        i = next((e.place[n] for n in held if n in e.place), None)
+                        cells += [None] * e.n if i is None else e.columns[i]
+                    columns.append(cast_cells(cells, kind))
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=[id_name, *names])
+
+    schema = ", ".join([f"`{id_name}` bigint", *(f"`{n.replace('`', '``')}` {types[k]}" for n, k, _ in fields)])
     return files.select("file_id", "body").mapInArrow(run, schema)

@@ -1,3 +1,5 @@
+import csv
+import io
 from datetime import datetime
 
 import pytest
@@ -8,8 +10,8 @@ SCHEMA = "file_id bigint, series_id bigint, exported_at timestamp_ntz, body stri
 T = lambda d: datetime(2024, 1, d)
 
 
-def changes(spark, rows, files, block=50_000):
-    return rows(drift.schema_changes(spark.createDataFrame(files, SCHEMA), block), "file_id", "field_name", "change")
+def changes(spark, rows, files, partitions=None):
+    return rows(drift.schema_changes(spark.createDataFrame(files, SCHEMA), partitions), "file_id", "field_name", "change")
 
 
 SERIES = [
@@ -28,9 +30,9 @@ EXPECTED = sorted([
 ], key=repr)
 
 
-@pytest.mark.parametrize("block", [1, 2, 3, 100])
-def test_changes_of_a_series(spark, rows, block):
-    assert changes(spark, rows, SERIES, block) == EXPECTED
+@pytest.mark.parametrize("partitions", [1, 2, 3, 100])
+def test_changes_of_a_series(spark, rows, partitions):
+    assert changes(spark, rows, SERIES, partitions) == EXPECTED
 
 
 def test_rename_keeps_the_kind_and_may_retype(spark, rows):
@@ -92,21 +94,36 @@ def test_no_files(spark, rows):
     assert table.columns == ["file_id"] and table.count() == 0
 
 
-def test_blocks_do_not_matter(spark, rows, data):
+def test_partitions_do_not_matter(spark, rows, data):
     files = spark.read.parquet(f"{data}/image_file.parquet")
     whole = rows(drift.schema_changes(files), "file_id", "field_name", "change")
-    assert whole and whole == rows(drift.schema_changes(files, 4), "file_id", "field_name", "change")
+    assert whole and whole == rows(drift.schema_changes(files, 17), "file_id", "field_name", "change")
+    order = [r["file_id"] for r in files.orderBy("series_id", "exported_at", "file_id").select("file_id").collect()]
+    assert all(order[r["seq"]] == r["file_id"] for r in drift.schema_changes(files, 17).collect())
+
+
+def plain(body):
+    """Field names, of each field the cell by image, and kinds, cell by cell."""
+    lines = [x for x in csv.reader(io.StringIO((body or "").removeprefix("\ufeff"), newline="")) if x]
+    names, records = lines[0], [(x + [""] * len(lines[0]))[: len(lines[0])] for x in lines[1:]]
+    images, cells = [drift.canonical(r[names.index("ImageNumber")]) for r in records], {n: {} for n in names}
+    kinds = dict.fromkeys(names, 0)
+    for i, n in enumerate(names):
+        for k, r in zip(images, records):
+            cells[n].setdefault(k, r[i])
+            kind = 0 if not r[i].strip() else 1 if drift.WHOLE.fullmatch(r[i]) else 2 if drift.NUMBER.fullmatch(r[i]) else 3
+            kinds[n] = max(kinds[n], kind)
+    return names, cells, kinds
 
 
 def test_changes_in_order_against_a_plain_walk(spark, rows, data):
-    """Every series file by file, without blocks and joins."""
+    """Every series file by file, without partitions and chains."""
     files = spark.read.parquet(f"{data}/image_file.parquet").collect()
     expected = []
     for series in {f["series_id"] for f in files}:
         kinds, before = {}, None
         for f in sorted((f for f in files if f["series_id"] == series), key=lambda f: f["exported_at"]):
-            names, cells = drift.columns_of(f["body"])
-            new = {n: drift.kind_of(iter(cells[n].values())) for n in names}
+            names, cells, new = plain(f["body"])
             if before is None:
                 kinds = new
             else:
@@ -178,3 +195,26 @@ def test_very_long_numbers_and_cells(spark, rows):
     assert changes(spark, rows, files) == [(2, "C", "renamed"), (2, "C", "retyped"), (2, "D", "renamed")]
     table = drift.consistent_table(spark.createDataFrame(files, SCHEMA))
     assert rows(table, "A", "B", "C", "D") == sorted([(long, text, None, None), (None, None, f"{long}.0", text)], key=repr)
+
+
+def test_blank_cells_are_those_of_white_space(spark):
+    signs = [chr(c) for c in range(0x3100) if chr(c) not in ',"\r\n'] + ["\ufeff", "\U000e0020"]
+    export = drift.Export([str(i) for i in range(len(signs))], [(c,) for c in signs], 1)
+    assert [k == 0 for k in drift.kinds_of([export])[0].values()] == [not c.strip() for c in signs]
+    assert [v is None for v in drift.cast_cells(signs, "text").to_pylist()] == [not c.strip() for c in signs]
+
+
+def test_a_carried_kind_over_many_partitions(spark, rows):
+    """A kind seen once is known many files, and partitions, later."""
+    files = [(1, 1, T(1), "ImageNumber,A,B\n1,1,x\n")] + [(i, 1, T(i), "ImageNumber,A,B\n1,,\n") for i in range(2, 25)]
+    files += [(25, 1, T(25), "ImageNumber,A,C\n1,x,1\n"), (26, 2, T(1), "ImageNumber,A\n1,1\n"), (27, 2, T(2), "ImageNumber,A\n1,\n")]
+    for n in (1, 5, 27, 60):
+        assert changes(spark, rows, files, n) == [(25, "A", "retyped"), (25, "B", "removed"), (25, "C", "added")]
+
+
+def test_thousands_of_fields(spark, rows):
+    names = [f"Texture_{i}" for i in range(6000)]
+    body = lambda names, x: ",".join(["ImageNumber", *names]) + "\n" + "".join(f"{k}," + ",".join(f"{k}{i}{x}" for i in range(6000)) + "\n" for k in range(20))
+    files = [(i, 1, T(i), body(names, "")) for i in range(1, 6)] + [(7, 1, T(7), body([f"New_{n}" for n in names], ".0"))]
+    got = changes(spark, rows, files, 3)
+    assert len(got) == 12_000 and {c for _, _, c in got} == {"renamed", "retyped"} and {f for f, _, _ in got} == {7}
