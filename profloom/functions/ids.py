@@ -59,8 +59,17 @@ def json_text(text: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def _float_text(values: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(x) else repr(float(x)) for x in values], dtype=object)
+def _repr(values: pd.Series) -> pd.Series:
+    out = pd.Series(None, index=values.index, dtype=object)
+    some = values.notna()
+    out[some] = [repr(float(x)) for x in values[some]]
+    return out
+
+
+def _float_text(value: Column) -> Column:
+    """A double as Python writes it; whole ones, as keys are, without a Python worker's help."""
+    whole = (value != 0) & (F.abs(value) < 1e15) & (value == F.floor(value))
+    return F.coalesce(F.when(whole, F.concat(value.cast("bigint").cast("string"), F.lit(".0"))), _repr(F.when(~F.coalesce(whole, F.lit(False)), value)))
 
 
 def json_value(df: DataFrame, name: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profloom.functions import ids
+from profloom.functions.naming import quoted
 from profloom.sources import images as files
 from profloom.sources.discovery import expand_path
 from profloom.warehouse.catalog import Catalog, view_kind
@@ -21,10 +22,15 @@ _PICTURES = ("image", "outline", "mask", "label")
 
 
 def melt_images(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row per object and image column: source_image_column, source_image_file; rows without a file drop out."""
-    rest = [c for c in df.columns if c not in columns]
-    long = df.unpivot([F.col(f"`{c}`") for c in rest], [F.col(f"`{c}`") for c in columns], "source_image_column", "source_image_file")
-    return long.withColumn("source_image_file", ids.file_value(F.col("source_image_file"))).where(F.col("source_image_file").isNotNull())
+    """A row per object and image column: source_image_column, source_image_file; rows without a file drop out.
+
+    References are put right within the array that is exploded, so each once; what generates code for ``unpivot``
+    fails on such rows.
+    """
+    rest = [quoted(c) for c in df.columns if c not in columns]
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), ids.file_value(F.col(quoted(c))).alias("file")) for c in columns))
+    long = df.select(*rest, F.explode(F.filter(pairs, lambda x: x["file"].isNotNull())).alias("__image"))
+    return long.select(*rest, F.col("__image.column").alias("source_image_column"), F.col("__image.file").alias("source_image_file"))
 
 
 def profile_with_images(profiles: DataFrame, crops: DataFrame | None, given: Mapping[str, str] | None = None) -> DataFrame:
