@@ -6,6 +6,9 @@ import re
 from collections.abc import Iterable, Sequence
 from pathlib import PurePosixPath
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # The order of columns, by whole lower-case name, then by part, then by start.
 EXACT_ORDER = ("tablenumber", "metadata_tablenumber", "imagenumber", "metadata_imagenumber", "objectnumber", "object_number")
 PART_ORDER = "metadata"
@@ -87,5 +90,13 @@ def natural_key(text: str) -> tuple:
     return tuple((0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.findall(r"\d+|\D+", str(text)))
 
 
+def natural_column(text: Column) -> Column:
+    """A text by which Spark sorts as :func:`natural_key` does: before each run of digits its length without leading zeros."""
+    runs = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    digits = lambda x: F.regexp_replace(x, "^0+", "")
+    numbered = lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(x)).cast("string"), 10, "0"), digits(x))).otherwise(x)
+    return F.array_join(F.transform(runs, numbered), "")
+
+
 def natural_sort(texts: Iterable[str]) -> list[str]:
     return sorted(texts, key=natural_key)

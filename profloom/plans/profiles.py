@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 import sqlite3
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from profloom.functions import ids, naming, types
 from profloom.operators import pages
@@ -20,7 +21,7 @@ from profloom.plans.dialect import run_join_sql
 from profloom.plans.harmonize import convert, union_all
 from profloom.plans.joins import JoinSpec, except_columns, join_compartments, matching_columns
 from profloom.presets import PRESETS
-from profloom.runtime import shared_path, shuffle_partitions
+from profloom.runtime import materialize, shared_path, shuffle_partitions
 from profloom.sources import delimited, images, npz, sqlite
 from profloom.sources.discovery import walk_files
 from profloom.streaming.ingest import counts_by_period, ingest
@@ -46,6 +47,21 @@ def _local(spark: SparkSession, label: str) -> str:
     return shared_path(spark, label).removeprefix("file://").removeprefix("file:")
 
 
+def _told(df: DataFrame) -> DataFrame:
+    """NaN in a form that compares equal to itself: each float column is null there, and a column beside it tells so."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    return df.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in floats} | {f"{n}_is_nan": F.coalesce(F.isnan(n), F.lit(False)) & F.col(n).isNotNull() for n in floats})
+
+
+def _told_sql(sql: str, *floats: str) -> str:
+    """The same of a query's ``floats``."""
+    with_query, _, rest = sql.rpartition("\n--\n")
+    # by its text, as statistics of files, which leave NaN out, may fold isnan to false
+    null = ", ".join(f"CASE WHEN CAST({n} AS VARCHAR) <> 'nan' THEN {n} END AS {n}" for n in floats)
+    tell = ", ".join(f"coalesce(CAST({n} AS VARCHAR) = 'nan', false) AS {n}_is_nan" for n in floats)
+    return f"{with_query}\nSELECT * REPLACE ({null}), {tell} FROM ({rest})"
+
+
 # -- stand-ins
 
 
@@ -133,7 +149,8 @@ def q_join_with_cte_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_STAND_INS + "SELECT * FROM cytoplasm JOIN cells USING (Metadata_ImageNumber, Metadata_ObjectNumber)")
 def q_inner_using(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _objects(spark, sf_dir, "cytoplasm").join(_objects(spark, sf_dir, "cells"), ["Metadata_ImageNumber", "Metadata_ObjectNumber"])
+    sql = "SELECT * FROM read_parquet('cytoplasm.parquet') INNER JOIN read_parquet('cells.parquet') USING (Metadata_ImageNumber, Metadata_ObjectNumber)"
+    return run_join_sql(spark, sql, {k: _objects(spark, sf_dir, k) for k in ("cytoplasm", "cells")})
 
 
 @query(_STAND_INS + """
@@ -149,7 +166,7 @@ def q_join_dedupe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _named(df: DataFrame, group: str) -> DataFrame:
-    config = PRESETS["cellprofiler_sqlite_legacy"]
+    config = PRESETS["cell-health-cellprofiler-to-cytominer-database"]
     known = [*config.identifying_columns, "ObjectNumber", "Metadata_Plate"]
     return df.toDF(*naming.prefixed_names(df.columns, group, known, config.metadata, ("cells", "nuclei", "ph3")))
 
@@ -175,74 +192,71 @@ i AS (
 """
 
 
-@query(_PROFILE_TABLES + """
+@query(_told_sql(_PROFILE_TABLES + """
+--
 SELECT i.TableNumber AS Metadata_TableNumber, i.ImageNumber AS Metadata_ImageNumber, i.plate AS Metadata_Plate, i.well AS Metadata_Well, i.file AS Image_FileName_DNA,
   p.ObjectNumber AS Metadata_ObjectNumber, p.parent AS Ph3_Parent_Nuclei, p.y AS Ph3_Location_Center_Y,
   n.ObjectNumber AS Metadata_ObjectNumber_1, n.area AS Nuclei_AreaShape_Area, n.c0 AS Nuclei_c0
 FROM p JOIN n ON p.TableNumber = n.TableNumber AND p.ImageNumber = n.ImageNumber AND p.parent = n.ObjectNumber
-LEFT JOIN i ON i.TableNumber = p.TableNumber AND i.ImageNumber = p.ImageNumber""")
+LEFT JOIN i ON i.TableNumber = p.TableNumber AND i.ImageNumber = p.ImageNumber""", "Ph3_Location_Center_Y", "Nuclei_AreaShape_Area", "Nuclei_c0"))
 def q_profile_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PH3 objects with their nuclei and images: the three profile tables through naming and join."""
     marks = table(spark, sf_dir, "ph3").groupBy("TableNumber", "ImageNumber", "ObjectNumber").agg(F.min("Parent_Nuclei").alias("Parent_Nuclei"), F.max("Location_Center_Y").alias("Location_Center_Y"))
     marks = _named(marks, "PH3.csv").withColumnRenamed("Metadata_Ph3_Parent_Nuclei", "Ph3_Parent_Nuclei")
     keys = ("Metadata_TableNumber", "Metadata_ImageNumber")
     spec = JoinSpec(keys, {"nuclei": ("Metadata_ObjectNumber", "Ph3_Parent_Nuclei")}, (*keys, "Metadata_Plate", "Metadata_Well"), without=keys, anchor="ph3")
-    return join_compartments({"image": _named(_wells(spark, sf_dir), "Image.csv"), "ph3": marks, "nuclei": _named(_live_nuclei(spark, sf_dir), "Nuclei.csv")}, spec)
+    return _told(join_compartments({"image": _named(_wells(spark, sf_dir), "Image.csv"), "ph3": marks, "nuclei": _named(_live_nuclei(spark, sf_dir), "Nuclei.csv")}, spec))
 
 
-@query(_PROFILE_TABLES + "SELECT TableNumber, ImageNumber, ObjectNumber, plate AS Metadata_Plate, area AS AreaShape_Area FROM n JOIN i USING (TableNumber, ImageNumber)")
+@query(_PROFILE_TABLES + "SELECT TableNumber, ImageNumber, ObjectNumber, plate AS Metadata_Plate, area AS AreaShape_Area FROM n LEFT JOIN i USING (TableNumber, ImageNumber)")
 def q_tablenumber_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _live_nuclei(spark, sf_dir).join(_wells(spark, sf_dir), ["TableNumber", "ImageNumber"]).select("TableNumber", "ImageNumber", "ObjectNumber", "Metadata_Plate", "AreaShape_Area")
+    spec = JoinSpec(("TableNumber", "ImageNumber"), {}, ("Metadata_Plate",), None, ("c0",), anchor="nuclei")
+    return join_compartments({"nuclei": _live_nuclei(spark, sf_dir), "image": _wells(spark, sf_dir)}, spec)
 
 
-@query("SELECT CAST(7 AS BIGINT) AS TableNumber, CAST(ImageNumber AS INTEGER) AS ImageNumber, CAST(ObjectNumber AS INTEGER) AS ObjectNumber, CAST(AreaShape_Area AS FLOAT) AS AreaShape_Area, CAST(c0 AS FLOAT) AS c0 FROM nuclei")
+@query(_told_sql("SELECT CAST(7 AS BIGINT) AS TableNumber, CAST(ImageNumber AS INTEGER) AS ImageNumber, CAST(ObjectNumber AS INTEGER) AS ObjectNumber, CAST(AreaShape_Area AS FLOAT) AS AreaShape_Area, CAST(c0 AS FLOAT) AS c0 FROM nuclei", "AreaShape_Area", "c0"))
 def q_cast_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = types.cast_types(table(spark, sf_dir, "nuclei").select("ImageNumber", "ObjectNumber", "AreaShape_Area", "c0"), {"float": "float32", "integer": "int32"})
-    return df.select(F.lit(7).cast("bigint").alias("TableNumber"), "*")
+    return _told(df.select(F.lit(7).cast("bigint").alias("TableNumber"), "*"))
 
 
-@query("""
+@query(_told_sql("""
 SELECT TableNumber AS Metadata_TableNumber, ImageNumber AS Metadata_ImageNumber, ObjectNumber AS Metadata_ObjectNumber, c0 AS Nuclei_c0,
   AreaShape_Area AS Nuclei_AreaShape_Area, Location_Center_X AS Metadata_Nuclei_Parent_Cells, Location_Center_Y AS Metadata_Nuclei_ObjectNumber,
-  Intensity_MeanIntensity_DNA AS Nuclei_Intensity, CAST(loaded_at AS VARCHAR) IS NULL AS Metadata_Well FROM nuclei""")
+  Intensity_MeanIntensity_DNA AS Nuclei_Intensity, CAST(loaded_at AS VARCHAR) IS NULL AS Metadata_Well FROM nuclei""",
+    "Nuclei_c0", "Nuclei_AreaShape_Area", "Metadata_Nuclei_Parent_Cells", "Metadata_Nuclei_ObjectNumber", "Nuclei_Intensity"))
 def q_prefix_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All branches of the naming rule: features with and without the name, keys of every sort."""
     df = table(spark, sf_dir, "nuclei").select(
         "TableNumber", "ImageNumber", "ObjectNumber", "c0", F.col("AreaShape_Area").alias("Nuclei_AreaShape_Area"), F.col("Location_Center_X").alias("Parent_Cells"),
         F.col("Location_Center_Y").alias("Nuclei_ObjectNumber"), F.col("Intensity_MeanIntensity_DNA").alias("Intensity"), F.col("loaded_at").isNull().alias("Metadata_Well"),
     )
-    return _named(df, "Per_Nuclei.sqlite")
+    return _told(_named(df, "Per_Nuclei.sqlite"))
 
 
-@query("SELECT TableNumber, ImageNumber, ObjectNumber, Metadata_Extra, Image_Note, Cells_X, Nuclei_c0, zeta FROM (SELECT *, 1 AS Metadata_Extra, 2 AS Image_Note, c0 AS Nuclei_c0, AreaShape_Area AS Cells_X, Location_Center_X AS zeta FROM nuclei)")
+@query(_told_sql("SELECT TableNumber, ImageNumber, ObjectNumber, Metadata_Extra, Image_Note, Cells_X, Nuclei_c0, zeta FROM (SELECT *, 1 AS Metadata_Extra, 2 AS Image_Note, c0 AS Nuclei_c0, AreaShape_Area AS Cells_X, Location_Center_X AS zeta FROM nuclei)", "Cells_X", "Nuclei_c0", "zeta"))
 def q_column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "nuclei").select(
         F.col("Location_Center_X").alias("zeta"), F.col("c0").alias("Nuclei_c0"), F.col("AreaShape_Area").alias("Cells_X"), F.lit(2).alias("Image_Note"),
         F.lit(1).alias("Metadata_Extra"), "ObjectNumber", "ImageNumber", "TableNumber",
     )
-    return df.select(*naming.ordered_columns(df.columns))
+    return _told(df.select(*naming.ordered_columns(df.columns)))
 
 
-@query("SELECT * EXCLUDE (loaded_at, removed_at, URL_DNA) FROM image")
+@query(_told_sql("SELECT * EXCLUDE (loaded_at, removed_at, URL_DNA) FROM image", "Count_Cells", "Count_Nuclei", "Count_PH3", "ExecutionTime_01Images"))
 def q_exclude_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "image")
-    return df.select(*except_columns(df.columns, ["loaded_at", "REMOVED_AT", "URL_DNA"]))
+    return _told(df.select(*except_columns(df.columns, ["loaded_at", "REMOVED_AT", "URL_DNA"])))
 
 
-@query("SELECT ImageNumber, COLUMNS('Name_.*|Count_') FROM image")
+@query(_told_sql("SELECT ImageNumber, COLUMNS('Name_.*|Count_') FROM image", "Count_Cells", "Count_Nuclei", "Count_PH3"))
 def q_columns_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "image")
-    return df.select("ImageNumber", *matching_columns(df.columns, "Name_.*|Count_"))
-
-
-@query("SELECT TableNumber, ImageNumber, ObjectNumber, c0 FROM nuclei WHERE ImageNumber BETWEEN 3 AND 9")
-def q_keyset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pages.in_range(table(spark, sf_dir, "nuclei"), "ImageNumber", 3, 9).select("TableNumber", "ImageNumber", "ObjectNumber", "c0")
-    return pages.sorted_by(rows, "ImageNumber", "ObjectNumber")
+    return _told(df.select("ImageNumber", *matching_columns(df.columns, "Name_.*|Count_")))
 
 
-_PAGES = """
-WITH RECURSIVE k AS (SELECT o_custkey AS key, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY ALL),
+_PAGES_OF = """
+WITH RECURSIVE k AS (SELECT {key} AS key, count(*) AS n FROM {table} WHERE {key} IS NOT NULL GROUP BY ALL),
 c AS (SELECT key, n, sum(n) OVER (ORDER BY key) - n AS before FROM k),
 starts(page, first_key, seen) AS (
   SELECT CAST(0 AS BIGINT), (SELECT min(key) FROM c), CAST(0 AS HUGEINT)
@@ -251,6 +265,16 @@ starts(page, first_key, seen) AS (
   FROM starts WHERE EXISTS (SELECT 1 FROM c WHERE before >= seen + 1000)),
 key_pages AS (SELECT key, n, (SELECT max(page) FROM starts WHERE first_key <= key) AS page FROM k)
 """
+_PAGES = _PAGES_OF.format(key="o_custkey", table="orders")
+
+
+@query(_told_sql(_PAGES_OF.format(key="ImageNumber", table="nuclei") + """, ranges AS (SELECT page, min(key) AS lo, max(key) AS hi FROM key_pages GROUP BY page)
+--
+SELECT page, lo, hi, TableNumber, ImageNumber, ObjectNumber, c0 FROM nuclei JOIN ranges ON ImageNumber BETWEEN lo AND hi""", "c0"))
+def q_keyset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of the nuclei by its range of image numbers, in order."""
+    df = table(spark, sf_dir, "nuclei").select("TableNumber", "ImageNumber", "ObjectNumber", "c0")
+    return _told(pages.sorted_by(pages.ranged(df, "ImageNumber", 1000), "page", "ImageNumber", "TableNumber", "ObjectNumber"))
 
 
 @query(_PAGES + "SELECT page, min(key) AS lo, max(key) AS hi FROM key_pages GROUP BY page")
@@ -263,29 +287,24 @@ def q_page_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.assign_pages(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 1000)
 
 
-@query("""
+@query(_told_sql("""
 SELECT TableNumber, ImageNumber, ObjectNumber, CAST(c0 AS DOUBLE) AS measure FROM nuclei
-UNION ALL SELECT TableNumber, ImageNumber, ObjectNumber, CAST(Number_Object_Number AS DOUBLE) FROM ph3""")
+UNION ALL SELECT TableNumber, ImageNumber, ObjectNumber, CAST(Number_Object_Number AS DOUBLE) FROM ph3""", "measure"))
 def q_concat_common_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["TableNumber", "ImageNumber", "ObjectNumber"]
     a = table(spark, sf_dir, "nuclei").select(*keys, F.col("c0").alias("measure"), "AreaShape_Area")
     b = table(spark, sf_dir, "ph3").select(F.col("Number_Object_Number").alias("measure"), *keys, "Location_Center_Z")
-    return union_all([a, b])
-
+    return _told(union_all([a, b]))
 
-def _natural(text: Column) -> Column:
-    runs = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(x)), "")
 
-
-@query(r"SELECT DISTINCT path, list_aggregate(list_transform(regexp_extract_all(path, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), 'string_agg', '') AS natural_key FROM image_file")
+@query(r"SELECT DISTINCT path, list_aggregate(list_transform(regexp_extract_all(path, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 10, '0') || ltrim(x, '0') ELSE x END), 'string_agg', '') AS natural_key FROM image_file")
 def q_natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "image_file").select("path", _natural(F.col("path")).alias("natural_key")).distinct().orderBy("natural_key")
+    return table(spark, sf_dir, "image_file").select("path", naming.natural_column(F.col("path")).alias("natural_key")).distinct().orderBy("natural_key")
 
 
-@query("SELECT TableNumber, ImageNumber, Metadata_Plate, Metadata_Well, Count_Cells FROM image WHERE Metadata_Plate IS NOT NULL AND Metadata_Well IS NOT NULL AND Count_Cells IS NOT NULL AND TableNumber IS NOT NULL AND ImageNumber IS NOT NULL")
+@query(_told_sql("SELECT TableNumber, ImageNumber, Metadata_Plate, Metadata_Well, Count_Cells FROM image WHERE Metadata_Plate IS NOT NULL AND Metadata_Well IS NOT NULL AND Count_Cells IS NOT NULL AND TableNumber IS NOT NULL AND ImageNumber IS NOT NULL", "Count_Cells"))
 def q_drop_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.drop_null_rows(table(spark, sf_dir, "image").select("TableNumber", "ImageNumber", "Metadata_Plate", "Metadata_Well", "Count_Cells"))
+    return _told(pages.drop_null_rows(table(spark, sf_dir, "image").select("TableNumber", "ImageNumber", "Metadata_Plate", "Metadata_Well", "Count_Cells")))
 
 
 @query("SELECT count(*) AS n_rows, count(*) FILTER (isnan(c0)) AS n_nan FROM nuclei WHERE c0 IS NOT NULL")
@@ -395,13 +414,17 @@ def q_image_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_BOXED + r""", f AS (SELECT TableNumber AS t, ImageNumber AS i, max(FileName_DNA) AS file FROM image GROUP BY ALL),
-p AS (SELECT b.*, file FROM b JOIN f USING (t, i) WHERE try_cast(x0 AS DOUBLE) < try_cast(x1 AS DOUBLE) AND try_cast(y0 AS DOUBLE) < try_cast(y1 AS DOUBLE) AND file IS NOT NULL)
+p AS (SELECT b.*, file FROM b JOIN f USING (t, i) WHERE try_cast(x0 AS DOUBLE) < try_cast(x1 AS DOUBLE) AND try_cast(y0 AS DOUBLE) < try_cast(y1 AS DOUBLE) AND file IS NOT NULL),
+marked AS (SELECT DISTINCT TableNumber AS t, ImageNumber AS i, Parent_Nuclei AS o, true AS has FROM ph3)
 SELECT t AS table_number, i AS image_number, o AS object_number, 'Image_FileName_DNA' AS source_image_column, file AS source_image_file,
-  CASE WHEN o % 2 = 0 THEN 'mask' END AS label_source_kind FROM p""")
+  CASE WHEN has THEN 'mask' END AS label_source_kind FROM p LEFT JOIN marked USING (t, i, o)""")
 def q_profile_with_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles, stored with their identifiers, and the crops of those that PH3 objects refer to."""
     files = _files(spark, sf_dir).select("Metadata_TableNumber", "Metadata_ImageNumber", "Image_FileName_DNA")
-    profiles = ids.stamp_object_ids(_boxed(spark, sf_dir).where("Nuclei_AreaShape_BoundingBoxMaximum_X IS NOT NULL").join(files, ["Metadata_TableNumber", "Metadata_ImageNumber"]))
-    crops = profiles.where("Metadata_ObjectNumber % 2 = 0").select("Metadata_ObjectID", F.lit("Image_FileName_DNA").alias("source_image_column"), F.col("Image_FileName_DNA").alias("source_image_file"), F.lit("mask").alias("label_source_kind"))
+    profiles = materialize(ids.stamp_object_ids(_boxed(spark, sf_dir).where("Nuclei_AreaShape_BoundingBoxMaximum_X IS NOT NULL").join(files, ["Metadata_TableNumber", "Metadata_ImageNumber"])), "profiles")
+    keys = {"Metadata_TableNumber": "TableNumber", "Metadata_ImageNumber": "ImageNumber", "Metadata_ObjectNumber": "Parent_Nuclei"}
+    marked = table(spark, sf_dir, "ph3").select(*(F.col(c).alias(k) for k, c in keys.items()))
+    crops = profiles.join(marked, list(keys), "left_semi").select("Metadata_ObjectID", F.lit("Image_FileName_DNA").alias("source_image_column"), F.col("Image_FileName_DNA").alias("source_image_file"), F.lit("mask").alias("label_source_kind"))
     view = picture_tables.profile_with_images(profiles, crops)
     return view.select(F.col("Metadata_TableNumber").alias("table_number"), F.col("Metadata_ImageNumber").alias("image_number"), F.col("Metadata_ObjectNumber").alias("object_number"), "source_image_column", "source_image_file", "label_source_kind")
 
@@ -453,13 +476,13 @@ def q_label_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- arrays, types, tables, files
 
 
-@query("SELECT TableNumber, ImageNumber, Metadata_Site, Count_Cells, Count_Nuclei, Count_PH3, Channel_DNA, ExecutionTime_01Images FROM image")
+@query(_told_sql("SELECT TableNumber, ImageNumber, Metadata_Site, Count_Cells, Count_Nuclei, Count_PH3, Channel_DNA, ExecutionTime_01Images FROM image", "Count_Cells", "Count_Nuclei", "Count_PH3", "ExecutionTime_01Images"))
 def q_numeric_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "image")
-    return df.select(*types.split_numeric(df.schema)[0])
+    return _told(df.select(*types.split_numeric(df.schema)[0]))
 
 
-@query("SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS DP_{i + 1}" for i in range(8)) + " FROM embeddings")
+@query("SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS DP_{i + 1}" for i in range(64)) + " FROM embeddings")
 def q_npz_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("features"))
     return npz.array_columns(df, "features", "DP", npz.array_width(df, "features"))
@@ -486,16 +509,16 @@ def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.cast_types(delimited.read_csv(spark, walk_files(folder, "*.csv")))
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey, CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey / 2.0 END AS mixed FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation)")
+@query("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS mixed FROM customer")
 def q_sqlite_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A database with values of a wrong class in one column, read by ranges of row ids."""
-    path = _local(spark, "nation") + ".sqlite"
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("mixed"))
+    path = _local(spark, "database") + ".sqlite"
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()  # 25 rows
-    with sqlite3.connect(path) as db:
-        db.execute("CREATE TABLE nation (n_nationkey BIGINT, n_name VARCHAR(25), n_regionkey INTEGER, mixed DOUBLE)")
-        db.executemany("INSERT INTO nation VALUES (?, ?, ?, ?)", [(*r, "nan" if r[0] % 5 == 0 else r[0] / 2) for r in rows])
-    return sqlite.read_sqlite(spark, path, "nation", partitions=4)
+    with sqlite3.connect(path) as db:  # a database has one writer; rows come a partition at a time
+        db.execute("CREATE TABLE customer (c_custkey BIGINT, c_name VARCHAR(25), c_nationkey INTEGER, mixed DOUBLE)")
+        db.executemany("INSERT INTO customer VALUES (?, ?, ?, ?)", ((*r[:3], "nan" if r[3] is None else r[3]) for r in rows.toLocalIterator()))
+    return sqlite.read_sqlite(spark, path, "customer", partitions=8)
 
 
 @query()
@@ -573,11 +596,8 @@ def q_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select(F.to_utc_timestamp("start", F.current_timezone()).cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query("SELECT column_name, data_type FROM (DESCRIBE SELECT TableNumber, ImageNumber, Metadata_Plate, Count_Cells, loaded_at FROM image) t(column_name, data_type, a, b, c, d)")
+@query("SELECT column_name, data_type FROM (DESCRIBE SELECT * FROM image) t(column_name, data_type, a, b, c, d)")
 def q_column_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names and types of columns, under their SQL names."""
     names = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP"}
-    df = table(spark, sf_dir, "image").select("TableNumber", "ImageNumber", "Metadata_Plate", "Count_Cells", "loaded_at")
-    return spark.createDataFrame([(n, names[t]) for n, t in df.dtypes], "column_name string, data_type string")
-
-
+    return spark.createDataFrame([(n, names[t]) for n, t in table(spark, sf_dir, "image").dtypes], "column_name string, data_type string")

@@ -29,7 +29,7 @@ class Preset:
         return [*self.compartments, *self.metadata]
 
 
-# Names of tables and columns in the exports of each tool.
+# Names of presets, and of tables and columns in the exports of each tool.
 _OBJECTS = ("cells", "nuclei", "cytoplasm")
 _IMAGE = ("image",)
 _OBJECT_PAGES = {"image": "ImageNumber", "cells": "ObjectNumber", "nuclei": "ObjectNumber", "cytoplasm": "ObjectNumber", "join": "Cytoplasm_Number_Object_Number"}
@@ -76,7 +76,7 @@ PRESETS: dict[str, Preset] = {
             without=(_KEY,), keep_unmatched=True,
         ),
     ),
-    "cellprofiler_sqlite_prefixed": Preset(
+    "cellprofiler_sqlite_pycytominer": Preset(
         _IMAGE, _OBJECTS,
         ("ImageNumber", "Metadata_Well", "Parent_Cells", "Parent_Nuclei", "Cytoplasm_Parent_Cells", "Cytoplasm_Parent_Nuclei", "Cells_Number_Object_Number", "Nuclei_Number_Object_Number"),
         _NUMBER_PAGES,
@@ -89,7 +89,7 @@ PRESETS: dict[str, Preset] = {
             image_select=(_KEY, "Image_Metadata_Well", "Image_Metadata_Plate"), without=(_KEY,),
         ),
     ),
-    "cellprofiler_sqlite_legacy": Preset(
+    "cell-health-cellprofiler-to-cytominer-database": Preset(
         _IMAGE, _OBJECTS,
         ("TableNumber", "ImageNumber", "Metadata_Well", "Parent_Cells", "Parent_Nuclei", "Cytoplasm_Parent_Cells", "Cytoplasm_Parent_Nuclei", "Cells_ObjectNumber", "Nuclei_ObjectNumber"),
         _OBJECT_PAGES,
