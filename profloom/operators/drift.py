@@ -353,10 +353,9 @@ def union_columns(files: DataFrame) -> list[tuple[str, str, list[str]]]:
 def cast_cells(cells: list[str | None], kind: str) -> pa.Array:
     """Cells as values of a kind; blank and missing ones are null."""
     texts = pa.array(cells, pa.large_string())
+    texts = pc.if_else(pc.match_substring_regex(texts, NOT_BLANK), texts, pa.scalar(None, texts.type))
     if kind in ("none", "text"):
-        filled = pc.match_substring_regex(texts, NOT_BLANK)
-        return pc.if_else(filled, texts, None).cast(pa.string())
-    texts = pc.if_else(pc.match_substring_regex(texts, NOT_BLANK), texts, None)
+        return texts.cast(pa.string())
     if kind == "whole":
         return pc.replace_substring_regex(texts, "^(-?)0+([0-9])", r"\1\2").cast(pa.int64())
     return pc.replace_substring_regex(texts, r"\.$|\.([eE])", r"\1").cast(pa.float64())

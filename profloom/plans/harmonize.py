@@ -61,17 +61,16 @@ def union_all(parts: Sequence[DataFrame], casts: Casts = None, infer: bool = Tru
     return reduce(DataFrame.unionByName, (conform(p, schema) for p in parts))
 
 
-def _csv_parts(spark: SparkSession, sources: Sequence[Source], infer: bool = True) -> list[DataFrame]:
-    sources = delimited.readable(sources)
+def _csv_parts(spark: SparkSession, sources: Sequence[Source], infer: bool = True, malformed: str = "files") -> list[DataFrame]:
     numbered = [(s.path, s.table_number) for s in sources if s.table_number is not None]
     numbers = spark.createDataFrame(numbered, "path string, TableNumber bigint") if numbered else None
-    known = delimited.sound(spark, sources)
+    known = delimited.inspect(spark, sources, malformed)
     # what is text in some file is read as the text it is in all, not by way of a number
-    texts = {f.name for _, schema in known.values() for f in schema.fields if isinstance(f.dataType, T.StringType)} if infer else set()
+    texts = {f.name for h in known for f in h.schema.fields if isinstance(f.dataType, T.StringType)} if infer else set()
     parts = []
-    for names, (files, schema) in known.items():
-        read = T.StructType([T.StructField(f.name, T.StringType() if f.name in texts else f.dataType) for f in schema.fields])
-        parts.append(delimited.scan_files(spark, [s.path for s in files], names, read, numbers))
+    for h in known:
+        read = T.StructType([T.StructField(f.name, T.StringType() if f.name in texts else f.dataType) for f in h.schema.fields])
+        parts.append(delimited.scan_files(spark, h, read, numbers, malformed))
     return parts
 
 
@@ -83,20 +82,20 @@ def _sqlite_parts(spark: SparkSession, sources: Sequence[Source]) -> list[DataFr
     return [sqlite.read_files(spark, files) for files in alike.values()]
 
 
-def read_group(spark: SparkSession, group: str, sources: Sequence[Source], kind: str, config: Preset, casts: Casts = None, infer: bool = True) -> DataFrame:
+def read_group(spark: SparkSession, group: str, sources: Sequence[Source], kind: str, config: Preset, casts: Casts = None, infer: bool = True, malformed: str = "files") -> DataFrame:
     """One group as a DataFrame in harmonized types and names."""
     if kind == "npz":
         return npz.read_npz(spark, sources)
-    parts = _csv_parts(spark, sources, infer) if kind == "csv" else _sqlite_parts(spark, sources)
+    parts = _csv_parts(spark, sources, infer, malformed) if kind == "csv" else _sqlite_parts(spark, sources)
     df = cast_types(union_all(parts, casts, infer), casts)
     return df.toDF(*prefixed_names(df.columns, group, config.identifying_columns, config.metadata, config.compartments))
 
 
-def read_profiles(spark: SparkSession, source_path: str, config: Preset, datatype: str | None = None, casts: Casts = None, add_tablenumber: bool | None = None, infer: bool = True) -> ProfileSet:
+def read_profiles(spark: SparkSession, source_path: str, config: Preset, datatype: str | None = None, casts: Casts = None, add_tablenumber: bool | None = None, infer: bool = True, malformed: str = "files") -> ProfileSet:
     groups, kind = gather_sources(spark, source_path, config.targets or None, datatype)
     if kind != "npz":
         groups = number_tables(spark, groups, add_tablenumber)
-    return ProfileSet({g: read_group(spark, g, s, kind, config, casts, infer) for g, s in groups.items() if s}, groups)
+    return ProfileSet({g: read_group(spark, g, s, kind, config, casts, infer, malformed) for g, s in groups.items() if s}, groups)
 
 
 def page_key(group: str, page_keys: Mapping[str, str]) -> str | None:
@@ -118,12 +117,22 @@ def join_profiles(spark: SparkSession, profiles: ProfileSet, config: Preset) ->
     return held.selectExpr(*(f"{names[n]} AS {quoted(n)}" for n in ordered_columns(names)))
 
 
-def joined(spark: SparkSession, source_path: str, config: Preset, *, datatype: str | None = None, casts: Casts = None, add_tablenumber: bool | None = None, infer: bool = True, drop_null: bool = False) -> DataFrame:
+def joined(spark: SparkSession, source_path: str, config: Preset, *, datatype: str | None = None, casts: Casts = None, add_tablenumber: bool | None = None, infer: bool = True, drop_null: bool = False, malformed: str = "files") -> DataFrame:
     """The lazy joined table of everything below ``source_path``."""
-    df = join_profiles(spark, read_profiles(spark, source_path, config, datatype, casts, add_tablenumber, infer), config)
+    df = join_profiles(spark, read_profiles(spark, source_path, config, datatype, casts, add_tablenumber, infer, malformed), config)
     return drop_null_rows(df) if drop_null else df
 
 
+SORT_KEYS = ("TableNumber", "ImageNumber", "ObjectNumber", "Object_Number")
+
+
+def sort_keys(names: Sequence[str], first: str) -> list[str]:
+    """The keys that follow ``first`` in the order of output: by them rows of one page key, an object number as a rule, are told apart,
+    so that the sort can spread them over many tasks and gives the same order every time."""
+    ranked = [(i, n) for n in names if n != first and (n.startswith("Metadata_") or n in SORT_KEYS) for i, end in enumerate(SORT_KEYS) if n.endswith(end)]
+    return [n for _, n in sorted(ranked)]
+
+
 def storable(df: DataFrame) -> DataFrame:
     """Columns that were blank in all files become text, so that any reader takes them."""
     void = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
@@ -159,6 +168,7 @@ def convert(
     sort_output: bool = True,
     preset_name: str | None = "cellprofiler_csv",
     single_file: bool = False,
+    rejects_path: str | None = None,
     **warehouse_options: Any,
 ) -> str | list[str] | dict[str, list[dict]]:
     """Harmonize the exports below ``source_path`` and write them to ``dest_path``.
@@ -167,6 +177,9 @@ def convert(
     ``single_file``), whose path is returned. Joined only, it is one file per page of the join's page key,
     and their paths are returned. Not joined, each group is written to ``dest_path/{group}/`` and
     described as ``{group: [{"source_path", "table": [paths]}]}``; not concatenated either, each source by itself in pages.
+
+    CSV files with records that fail to parse are left out with a warning; with ``rejects_path`` such records alone are, and
+    are written there (path, at, reason, raw).
     """
     dest = expand_path(dest_path)
     check_options(
@@ -180,35 +193,42 @@ def convert(
     )
     if join and "join" not in config.page_keys:
         raise ProfileException("joined output needs a page key named 'join'")
+    malformed = "files"
+    if rejects_path is not None:
+        sinks.check_free(expand_path(rejects_path))
+        groups, kind = gather_sources(spark, source_path, config.targets or None, source_datatype)
+        if kind == "csv":
+            malformed = "rows"
+            sinks.write_dataset(delimited.rejected_records(spark, [s.path for sources in groups.values() for s in sources]), expand_path(rejects_path))
     if dest_backend == "iceberg":
         from profloom.warehouse.build import write_warehouse
 
         return write_warehouse(
             spark, source_path, dest, config, source_datatype=source_datatype, data_type_cast_map=data_type_cast_map,
-            add_tablenumber=add_tablenumber, infer_common_schema=infer_common_schema, image_dir=image_dir, mask_dir=mask_dir,
+            add_tablenumber=add_tablenumber, infer_common_schema=infer_common_schema, malformed=malformed, image_dir=image_dir, mask_dir=mask_dir,
             outline_dir=outline_dir, include_source_images=include_source_images, segmentation_file_regex=segmentation_file_regex,
             bbox_column_map=bbox_column_map, **warehouse_options,
         )
     if join:
-        df = storable(joined(spark, source_path, config, datatype=source_datatype, casts=data_type_cast_map, add_tablenumber=add_tablenumber, infer=infer_common_schema, drop_null=drop_null))
+        df = storable(joined(spark, source_path, config, datatype=source_datatype, casts=data_type_cast_map, add_tablenumber=add_tablenumber, infer=infer_common_schema, drop_null=drop_null, malformed=malformed))
         key = config.page_keys["join"]
         if not concat:
             return sinks.write_pages(df, key, config.chunk_size, os.path.splitext(dest)[0], sort_output)
-        df = sorted_by(df, key) if sort_output and key in df.columns else df
+        df = sorted_by(df, key, *sort_keys(df.columns, key)) if sort_output and key in df.columns else df
         if dest_datatype != "parquet":
             return sinks.write_anndata(df, dest, dest_datatype)
         return sinks.write_file(df, dest) if single_file else sinks.write_dataset(df, dest)
-    return _write_groups(spark, source_path, dest, config, concat, source_datatype, data_type_cast_map, add_tablenumber, infer_common_schema, drop_null, sort_output, single_file)
+    return _write_groups(spark, source_path, dest, config, concat, source_datatype, data_type_cast_map, add_tablenumber, infer_common_schema, drop_null, sort_output, single_file, malformed)
 
 
-def _write_groups(spark: SparkSession, source_path: str, dest: str, config: Preset, concat: bool, datatype: str | None, casts: Casts, add_tablenumber: bool | None, infer: bool, drop_null: bool, sort: bool, single_file: bool) -> dict[str, list[dict]]:
+def _write_groups(spark: SparkSession, source_path: str, dest: str, config: Preset, concat: bool, datatype: str | None, casts: Casts, add_tablenumber: bool | None, infer: bool, drop_null: bool, sort: bool, single_file: bool, malformed: str = "files") -> dict[str, list[dict]]:
     groups, kind = gather_sources(spark, source_path, config.targets or None, datatype)
     if kind != "npz":
         groups = number_tables(spark, groups, add_tablenumber)
     out: dict[str, list[dict]] = {}
 
     def finished(group: str, sources: Sequence[Source]) -> DataFrame:
-        df = read_group(spark, group, sources, kind, config, casts, infer)
+        df = read_group(spark, group, sources, kind, config, casts, infer, malformed)
         df = npz.spread_features(df) if kind == "npz" else df
         return storable(drop_null_rows(df) if drop_null else df)
 
@@ -222,7 +242,7 @@ def _write_groups(spark: SparkSession, source_path: str, dest: str, config: Pres
             df, path = finished(group, sources), os.path.join(dest, stem, f"{stem}.parquet")
             names = dict(zip(delimited_names(df.columns), df.columns))
             order = names.get((key or "").lower())
-            df = sorted_by(df, order) if sort and order else df
+            df = sorted_by(df, order, *sort_keys(df.columns, order)) if sort and order else df
             out[group] = [{"source_path": os.path.join(dest, stem), "table": [sinks.write_file(df, path) if single_file else sinks.write_dataset(df, path)]}]
             continue
         out[group] = []

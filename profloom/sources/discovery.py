@@ -12,14 +12,17 @@ import os
 import sqlite3
 import zlib
 from collections.abc import Iterator, Sequence
+from contextlib import closing
 from dataclasses import dataclass, replace
 from itertools import islice
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
 from profloom.errors import DatatypeException, NoInputDataException
+from profloom.sources import storage
 
 log = logging.getLogger(__name__)
 
@@ -99,19 +102,29 @@ def _local_files(start: str, pattern: str) -> Iterator[str]:
 
 
 def _remote_files(start: str, pattern: str) -> Iterator[str]:
-    system, root = fs.FileSystem.from_uri(start)
-    scheme = start.split("://")[0]
+    system, root = storage.locate(start)
+    host = start[: start.index(root)] if root in start else start.partition("://")[0] + "://"  # what stands before paths of the file system
     info = system.get_file_info(root)
     if info.type == fs.FileType.File:
         yield start
         return
     for x in sorted(system.get_file_info(fs.FileSelector(root, recursive=True)), key=lambda x: x.path):
         if x.type == fs.FileType.File and _matches(os.path.relpath(x.path, root), pattern):
-            yield f"{scheme}://{x.path}"
+            yield f"{host}{x.path}"
+
+
+def open_database(path: str, at: storage.Locate = storage.locate) -> sqlite3.Connection:
+    """A database, read only; one that isn't a local file is held in memory."""
+    system, place = at(path)
+    if isinstance(system, fs.LocalFileSystem):
+        return sqlite3.connect(f"file:{quote(place)}?mode=ro", uri=True)
+    db = sqlite3.connect(":memory:")
+    db.deserialize(storage.read_bytes(path, at))
+    return db
 
 
 def sqlite_tables(path: str) -> list[str]:
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+    with closing(open_database(path)) as db:
         return [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view') ORDER BY name")]
 
 
@@ -161,22 +174,30 @@ def infer_datatype(groups: Groups, datatype: str | None = None) -> str:
     return found[0]
 
 
-def has_records(path: str) -> bool:
+def has_records(path: str, at: storage.Locate = storage.locate) -> bool:
     """Whether a text file has more than one line."""
-    with open(path, "rb") as f:
-        return bool(f.readline()) and bool(f.readline())
+    system, place = at(path)
+    with system.open_input_stream(place) as f:
+        begun = False
+        while block := f.read(1 << 16):
+            end = block.find(b"\n")
+            if begun or 0 <= end < len(block) - 1:
+                return True
+            begun = end >= 0
+    return False
 
 
 def drop_invalid(spark: SparkSession | None, groups: Groups, datatype: str) -> Groups:
     """Without files of other types, empty files and CSV files that are only a header."""
     typed = {g: [s for s in sources if s.suffix == f".{datatype}"] for g, sources in groups.items()}
-    paths = sorted({s.path for sources in typed.values() for s in sources if "://" not in s.path})
-    check = datatype == "csv"
+    paths = sorted({s.path for sources in typed.values() for s in sources})
+    check, at = datatype == "csv", storage.resolver()
 
     def valid(path: str) -> bool:
-        return os.path.exists(path) and os.path.getsize(path) > 0 and (not check or has_records(path))
+        system, place = at(path)
+        return bool(system.get_file_info(place).size) and (not check or has_records(path, at))
 
-    if spark is not None and len(paths) > 10_000:
+    if spark is not None and len(paths) > 1000:
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -185,7 +206,7 @@ def drop_invalid(spark: SparkSession | None, groups: Groups, datatype: str) -> G
         good = {r["path"] for r in spark.createDataFrame([(p,) for p in paths], "path string").repartition(spark.sparkContext.defaultParallelism * 4).mapInPandas(run, "path string").collect()}
     else:
         good = {p for p in paths if valid(p)}
-    out = {g: [s for s in sources if "://" in s.path or s.path in good] for g, sources in typed.items()}
+    out = {g: [s for s in sources if s.path in good] for g, sources in typed.items()}
     for g, sources in typed.items():
         if len(sources) > len(out[g]):
             log.warning("%d empty files of group %s are left out", len(sources) - len(out[g]), g)
@@ -202,11 +223,11 @@ def gather_sources(spark: SparkSession | None, path: str, targets: Sequence[str]
     return groups, kind
 
 
-def checksum(path: str) -> int:
+def checksum(path: str, at: storage.Locate = storage.locate) -> int:
     """CRC-32 of a whole file, read in blocks."""
     value = 0
-    system, local = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    with system.open_input_stream(local) as f:
+    system, place = at(path)
+    with system.open_input_stream(place) as f:
         while block := f.read(1 << 20):
             value = zlib.crc32(block, value)
     return value & 0xFFFFFFFF
@@ -225,9 +246,11 @@ def number_tables(spark: SparkSession, groups: Groups, add: bool | None = None,
     if not images or (add is None and len(images) <= 1):
         return groups
 
+    at = storage.resolver()
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(number=[checksum(p) for p in frame["path"]])
+            yield frame.assign(number=[checksum(p, at) for p in frame["path"]])
 
     paths = spark.createDataFrame(list(images.items()), "place string, path string")
     tasks = min(len(images), spark.sparkContext.defaultParallelism * 4)

@@ -10,6 +10,7 @@ import json
 import re
 import sqlite3
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from profloom.errors import DatatypeException
+from profloom.sources import storage
+from profloom.sources.discovery import open_database
 
 # The storage class of each declared type.
 AFFINITY: dict[str, tuple[str, ...]] = {
@@ -55,13 +58,9 @@ def affinity_of(declared: str) -> str:
     raise DatatypeException(f"unknown SQLite type {declared!r}")
 
 
-def _open(path: str) -> sqlite3.Connection:
-    return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-
-
 def table_columns(path: str, table: str) -> list[SqlColumn]:
     quoted = table.replace('"', '""')
-    with _open(path) as db:
+    with closing(open_database(path)) as db:
         return [SqlColumn(r[1], affinity_of(r[2])) for r in db.execute(f'PRAGMA table_info("{quoted}")')]
 
 
@@ -76,13 +75,16 @@ def _quoted(name: str) -> str:
 
 class SqliteReader(DataSourceReader):
     def __init__(self, files: list[tuple], columns: list[SqlColumn], partitions: int) -> None:
-        self.files, self.columns, self.parts = files, columns, partitions
+        self.files, self.columns, self.parts, self.at = files, columns, partitions, storage.resolver()
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for file in self.files:
+            if "://" in file[0]:  # held in memory where it is read, so once
+                out.append(_Range(file, None, None))
+                continue
             try:
-                with _open(file[0]) as db:
+                with closing(open_database(file[0])) as db:
                     low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(file[1])}").fetchone()
             except sqlite3.OperationalError:  # a view or a table without row ids
                 out.append(_Range(file, None, None))
@@ -96,7 +98,7 @@ class SqliteReader(DataSourceReader):
         path, table, number = partition.file
         where = "" if partition.low is None else f" WHERE rowid BETWEEN {partition.low} AND {partition.high}"
         sql = f"SELECT {', '.join(c.guarded() for c in self.columns)} FROM {_quoted(table)}{where}"
-        db = _open(path)
+        db = open_database(path, self.at)
         try:
             cursor = db.execute(sql)
             while rows := cursor.fetchmany(ROWS):
@@ -129,8 +131,24 @@ class SqliteSource(DataSource):
         return SqliteReader(files, table_columns(*files[0][:2]), int(self.options.get("partitions", 8)))
 
 
+def _read_registered(spark: SparkSession, files: list[tuple]) -> DataFrame:
+    """The same from file systems that only this package knows, which a data source can't be told of: a task per table."""
+    reader = SqliteReader(files, table_columns(*files[0][:2]), 1)
+    fields = [T.StructField(c.name, SPARK[c.affinity]) for c in reader.columns]
+    schema = T.StructType([T.StructField("TableNumber", T.LongType()), *fields] if files[0][2] is not None else fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch["i"].to_pylist():
+                yield from reader.read(_Range(files[i], None, None))
+
+    return spark.range(len(files)).withColumnRenamed("id", "i").repartition(len(files), "i").mapInArrow(run, schema)
+
+
 def read_files(spark: SparkSession, files: list[tuple], partitions: int | None = None) -> DataFrame:
     """Tables of equal columns, (path, table, table number or None) each, as one DataFrame."""
+    if any(storage.is_registered(f[0]) for f in files):
+        return _read_registered(spark, files)
     spark.dataSource.register(SqliteSource)
     parts = partitions or max(1, spark.sparkContext.defaultParallelism * 2 // len(files))
     return spark.read.format("sqlite_table").options(files=json.dumps(files), partitions=str(parts)).load()

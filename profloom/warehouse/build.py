@@ -27,6 +27,7 @@ def write_warehouse(
     data_type_cast_map: Mapping[str, str] | None = None,
     add_tablenumber: bool | None = None,
     infer_common_schema: bool = True,
+    malformed: str = "files",
     image_dir: str | None = None,
     mask_dir: str | None = None,
     outline_dir: str | None = None,
@@ -53,7 +54,7 @@ def write_warehouse(
     catalog = Catalog(warehouse_path, registry_file, default_namespace)
     try:
         catalog.create_namespace(default_namespace)
-        df = harmonize.joined(spark, source_path, config, datatype=source_datatype, casts=data_type_cast_map, add_tablenumber=add_tablenumber, infer=infer_common_schema)
+        df = harmonize.joined(spark, source_path, config, datatype=source_datatype, casts=data_type_cast_map, add_tablenumber=add_tablenumber, infer=infer_common_schema, malformed=malformed)
         catalog.append(f"{default_namespace}.{profiles_table_name}", ids.stamp_object_ids(harmonize.storable(df), bbox_column_map))
         if image_dir is not None:
             catalog.create_namespace(images_namespace)
