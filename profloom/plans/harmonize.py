@@ -25,7 +25,7 @@ from profloom.plans.dialect import run_join_sql
 from profloom.plans.joins import JoinSpec, join_compartments
 from profloom.plans.options import check_options
 from profloom.presets import Preset, preset
-from profloom.sources import delimited, npz, sinks, sqlite
+from profloom.sources import delimited, npz, sinks, sqlite, storage
 from profloom.sources.discovery import Groups, Source, expand_path, gather_sources, number_tables
 
 log = logging.getLogger(__name__)
@@ -237,7 +237,7 @@ def _write_groups(spark: SparkSession, source_path: str, dest: str, config: Pres
         if key is None and kind != "npz":
             raise ProfileException(f"no page key fits the group {group}")
         stem = os.path.splitext(group)[0].lower()
-        os.makedirs(os.path.join(dest, stem), exist_ok=True)
+        storage.make_folder(os.path.join(dest, stem))
         if concat:
             df, path = finished(group, sources), os.path.join(dest, stem, f"{stem}.parquet")
             names = dict(zip(delimited_names(df.columns), df.columns))
@@ -249,9 +249,10 @@ def _write_groups(spark: SparkSession, source_path: str, dest: str, config: Pres
         root = expand_path(source_path)
         for s in sources:
             df = finished(group, [s])
-            folder = os.path.join(dest, stem, os.path.relpath(s.parent, root if os.path.isdir(root) else s.parent).lower())
-            os.makedirs(os.path.normpath(folder), exist_ok=True)
-            base = os.path.join(os.path.normpath(folder), s.stem + (f".{s.table}" if s.table else ""))
+            folder = os.path.join(dest, stem, os.path.relpath(s.parent, root if storage.is_folder(root) else s.parent).lower())
+            folder = folder if "://" in folder else os.path.normpath(folder)
+            storage.make_folder(folder)
+            base = os.path.join(folder, s.stem + (f".{s.table}" if s.table else ""))
             named = next((n for n in df.columns if key and n.endswith(key)), None)
             tables = sinks.write_pages(df, named, config.chunk_size, base, sort) if named else [sinks.write_dataset(df, f"{base}.parquet")]
             out[group].append({"source_path": s.path, "table_name": s.table, "tablenumber": s.table_number, "page_key": key, "table": tables})

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import sqlite3
+from collections.abc import Callable
+from contextlib import closing
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from profloom.plans.harmonize import convert, union_all
 from profloom.plans.joins import JoinSpec, except_columns, join_compartments, matching_columns
 from profloom.presets import PRESETS
 from profloom.runtime import materialize, shared_path, shuffle_partitions
-from profloom.sources import delimited, images, npz, sqlite
+from profloom.sources import delimited, images, npz, sqlite, storage
 from profloom.sources.discovery import walk_files
 from profloom.streaming.ingest import counts_by_period, ingest
 from profloom.warehouse import images as picture_tables
@@ -43,10 +45,6 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
-def _local(spark: SparkSession, label: str) -> str:
-    return shared_path(spark, label).removeprefix("file://").removeprefix("file:")
-
-
 def _told(df: DataFrame) -> DataFrame:
     """NaN in a form that compares equal to itself: each float column is null there, and a column beside it tells so."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
@@ -504,7 +502,7 @@ def q_limit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_name, p_brand, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
 def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table written as CSV and read back by the inferring scan."""
-    folder = _local(spark, "csv")
+    folder = shared_path(spark, "csv")
     table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice").write.option("header", True).option("escape", '"').csv(folder)
     return types.cast_types(delimited.read_csv(spark, walk_files(folder, "*.csv")))
 
@@ -513,11 +511,12 @@ def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_sqlite_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A database with values of a wrong class in one column, read by ranges of row ids."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("mixed"))
-    path = _local(spark, "database") + ".sqlite"
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with sqlite3.connect(path) as db:  # a database has one writer; rows come a partition at a time
+    path = shared_path(spark, "database") + ".sqlite"
+    with closing(sqlite3.connect(":memory:")) as db:  # a database has one writer; rows come a partition at a time
         db.execute("CREATE TABLE customer (c_custkey BIGINT, c_name VARCHAR(25), c_nationkey INTEGER, mixed DOUBLE)")
         db.executemany("INSERT INTO customer VALUES (?, ?, ?, ?)", ((*r[:3], "nan" if r[3] is None else r[3]) for r in rows.toLocalIterator()))
+        db.commit()
+        storage.create(path, db.serialize())
     return sqlite.read_sqlite(spark, path, "customer", partitions=8)
 
 
@@ -527,18 +526,18 @@ def q_crc32_tablenumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "image_file").select("file_id", F.crc32(F.encode("body", "UTF-8")).alias("table_number"))
 
 
-def _export(spark: SparkSession, sf_dir: str) -> str:
-    """The stand-in compartments as a folder of CSV exports, a folder per order status and compartment."""
-    root = _local(spark, "export")
+def export_folder(spark: SparkSession, sf_dir: str, change: Callable[[str, DataFrame], DataFrame] = lambda role, df: df) -> str:
+    """The stand-in compartments as a folder of CSV exports, each in two folders; ``change`` may add columns to a compartment."""
+    root = shared_path(spark, "export")
     names = {"Metadata_ImageNumber": "ImageNumber", "Metadata_ObjectNumber": "ObjectNumber", "Metadata_Cytoplasm_Parent_Cells": "Parent_Cells", "Metadata_Cytoplasm_Parent_Nuclei": "Parent_Nuclei"}
     roles = _roles(spark, sf_dir)
     roles["cytoplasm"] = roles["cytoplasm"].withColumn("Number_Object_Number", F.col("Metadata_ObjectNumber"))
     for role, df in roles.items():
         staged = f"{root}/staged-{role}"
-        df.withColumnsRenamed(names).coalesce(2).write.option("header", True).csv(staged)
+        change(role, df).withColumnsRenamed(names).coalesce(2).write.option("header", True).csv(staged)
         for i, path in enumerate(walk_files(staged, "*.csv")):
-            os.makedirs(f"{root}/tables/{i}", exist_ok=True)
-            os.rename(path, f"{root}/tables/{i}/{role.capitalize()}.csv")
+            storage.make_folder(f"{root}/tables/{i}")
+            storage.move(path, f"{root}/tables/{i}/{role.capitalize()}.csv")
     return f"{root}/tables"
 
 
@@ -550,14 +549,14 @@ FROM cytoplasm LEFT JOIN cells USING (Metadata_ImageNumber) LEFT JOIN nuclei USI
 WHERE cells.Metadata_ObjectNumber = cytoplasm.Metadata_Cytoplasm_Parent_Cells AND nuclei.Metadata_ObjectNumber = cytoplasm.Metadata_Cytoplasm_Parent_Nuclei""")
 def q_convert_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline from CSV exports to the joined Parquet dataset, read back."""
-    out = _local(spark, "converted")
-    return spark.read.parquet(convert(spark, _export(spark, sf_dir), out, "parquet", add_tablenumber=False, source_datatype="csv"))
+    out = shared_path(spark, "converted")
+    return spark.read.parquet(convert(spark, export_folder(spark, sf_dir), out, "parquet", add_tablenumber=False, source_datatype="csv"))
 
 
 @query("SELECT * FROM supplier UNION ALL SELECT * FROM supplier WHERE s_acctbal > 0")
 def q_warehouse_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshots appended to a warehouse table, read back by its unqualified name."""
-    root, df = _local(spark, "warehouse"), table(spark, sf_dir, "supplier")
+    root, df = shared_path(spark, "warehouse"), table(spark, sf_dir, "supplier")
     catalog = Catalog(root)
     catalog.append("supplier", df)
     catalog.append("supplier", df.where("s_acctbal > 0"))
@@ -566,7 +565,7 @@ def q_warehouse_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_nationkey, count(*) AS n, max(s_acctbal) AS best FROM supplier GROUP BY s_nationkey")
 def q_warehouse_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _local(spark, "views")
+    root = shared_path(spark, "views")
     catalog = Catalog(root)
     catalog.append("supplier", table(spark, sf_dir, "supplier"))
     catalog.create_view("by_nation", "sql", sql="SELECT s_nationkey, count(*) AS n, max(s_acctbal) AS best FROM {profiles.supplier} GROUP BY s_nationkey")
@@ -576,7 +575,7 @@ def q_warehouse_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT ON (TableNumber, ImageNumber) TableNumber, ImageNumber, min(loaded_at) AS loaded_at FROM image GROUP BY TableNumber, ImageNumber")
 def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image loads that arrive as files of a stream, each key stored once."""
-    root = _local(spark, "stream")
+    root = shared_path(spark, "stream")
     loads = table(spark, sf_dir, "image").groupBy("TableNumber", "ImageNumber").agg(F.min("loaded_at").alias("loaded_at"))
     for _ in range(2):
         loads.repartition(2).write.mode("append").parquet(f"{root}/in")
@@ -588,7 +587,7 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def q_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per type and day of event time, from a stream; complete output once all files are read."""
-    folder = _local(spark, "events")
+    folder = shared_path(spark, "events")
     table(spark, sf_dir, "events").select(F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp").alias("ts"), "event_type").repartition(shuffle_partitions(spark)).write.parquet(folder)
     name = "w" + os.path.basename(folder).replace("-", "")
     stream = counts_by_period(spark.readStream.schema("ts timestamp, event_type string").parquet(folder), "ts", "event_type", "1 day", "1 hour")

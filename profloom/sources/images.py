@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 
 from profloom.errors import DatatypeException, ProfileException
 from profloom.functions.ids import IMAGE_SUFFIXES
-from profloom.sources.discovery import expand_path
+from profloom.sources import storage
+from profloom.sources.discovery import expand_path, walk_files
 
 IMAGE_TYPE = T.StructType([T.StructField("shape", T.ArrayType(T.IntegerType())), T.StructField("dtype", T.StringType()), T.StructField("pixels", T.BinaryType())])
 ARROW_IMAGE = pa.struct([("shape", pa.list_(pa.int32())), ("dtype", pa.string()), ("pixels", pa.binary())])
@@ -100,9 +101,8 @@ def encode_tiff(image: np.ndarray, deflate: bool = False) -> bytes:
     return struct.pack("<2sHI", b"II", 42, 8 + len(raw)) + raw + table
 
 
-def load_image(path: str) -> np.ndarray:
-    with open(path, "rb") as f:
-        return decode_tiff(f.read())
+def load_image(path: str, at: storage.Locate = storage.locate) -> np.ndarray:
+    return decode_tiff(storage.read_bytes(path, at))
 
 
 def image_struct(image: np.ndarray | None) -> dict | None:
@@ -122,6 +122,10 @@ def crop(image: np.ndarray, x_min: int, x_max: int, y_min: int, y_max: int) -> n
 def list_images(root: str) -> list[str]:
     """Paths of the images below ``root``, relative to it; zarr folders count as one image each."""
     root, out = expand_path(root), []
+    if "://" in root:
+        names = [os.path.relpath(p, root) for p in walk_files(root)]
+        stores = {n[: m.end() - 1] for n in names if (m := re.match(r"(?i).*?\.zarr/", n))}
+        return sorted([*stores, *(n for n in names if n.lower().endswith(IMAGE_SUFFIXES) and not re.search(r"(?i)\.zarr/", n))])
     for folder, below, names in os.walk(root, followlinks=True):
         stores = [d for d in below if d.lower().endswith(".zarr")]
         below[:] = sorted(set(below) - set(stores))
@@ -238,7 +242,7 @@ def segmentation_paths(images: DataFrame, value: str, candidate: str, names: Seq
 
 
 def require_folder(path: str | None, what: str) -> None:
-    if path is not None and not os.path.isdir(expand_path(path)):
+    if path is not None and not storage.is_folder(expand_path(path)):
         raise ProfileException(f"{what} {path} isn't a folder")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -15,20 +14,27 @@ from pyspark.sql import functions as F
 
 from profloom import __version__
 from profloom.errors import DatatypeException
+from profloom.functions.naming import quoted
 from profloom.functions.types import split_numeric
 from profloom.operators.pages import assign_pages
+from profloom.sources import storage
 
 PRODUCER = {b"data-producer": b"profloom", b"data-producer-version": __version__.encode()}
 
 
 def check_free(path: str) -> None:
     """An error if ``path`` exists already."""
-    if os.path.exists(path):
+    if storage.exists(path):
         raise FileExistsError(f"{path} exists; it isn't overwritten")
 
 
 def write_dataset(df: DataFrame, path: str) -> str:
-    """A Parquet dataset: one file per task, as large results need it."""
+    """A Parquet dataset: one file per task, as large results need it. The producer stands in the schema that each footer holds, beside the first column."""
+    names = df.columns
+    if names:
+        first = quoted(names[0])
+        about = df.schema[0].metadata | {k.decode(): v.decode() for k, v in PRODUCER.items()}
+        df = df.select(F.col(first).alias(names[0], metadata=about), *(quoted(n) for n in names[1:]))
     df.write.parquet(path)
     return path
 
@@ -41,19 +47,21 @@ def write_file(df: DataFrame, path: str) -> str:
     """
     parts = f"{path}.parts-{uuid.uuid4().hex}"
     df.write.parquet(parts)
+    system, place = storage.locate(parts)
     try:
-        files = sorted(f for f in os.listdir(parts) if f.endswith(".parquet"))
-        schema = pq.read_schema(os.path.join(parts, files[0])) if files else pa.schema([])
+        files = [storage.join(place, f) for f in storage.files_in(parts) if f.endswith(".parquet")]
+        schema = pq.read_schema(files[0], filesystem=system) if files else pa.schema([])
         known = {k: v for k, v in (schema.metadata or {}).items() if not k.startswith(b"org.apache.spark")}
         schema = schema.with_metadata(known | PRODUCER)
-        with pq.ParquetWriter(f"{parts}.whole", schema) as writer:
+        with system.open_output_stream(f"{place}.whole") as out, pq.ParquetWriter(out, schema) as writer:
             for f in files:
-                source = pq.ParquetFile(os.path.join(parts, f))
-                for i in range(source.num_row_groups):
-                    writer.write_table(source.read_row_group(i).replace_schema_metadata(schema.metadata))
-        os.replace(f"{parts}.whole", path)
+                with system.open_input_file(f) as held:
+                    source = pq.ParquetFile(held)
+                    for i in range(source.num_row_groups):
+                        writer.write_table(source.read_row_group(i).replace_schema_metadata(schema.metadata))
+        storage.move(f"{parts}.whole", path)
     finally:
-        shutil.rmtree(parts, ignore_errors=True)
+        storage.remove_folder(parts)
     return path
 
 
@@ -71,6 +79,7 @@ def write_pages(df: DataFrame, key: str, size: int, stem: str, sort: bool = True
     key = held[names.index(key)]
     paged = assign_pages(df.toDF(*held), key, size)
     order = ["page", F.col(key).asc_nulls_last()] if sort else ["page"]
+    at = storage.resolver()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, page, low, high, temporary, done = None, None, None, None, "", []
@@ -79,7 +88,7 @@ def write_pages(df: DataFrame, key: str, size: int, stem: str, sort: bool = True
             if writer is not None:
                 writer.close()
                 path = f"{stem}-{_label(low)}-{_label(high)}.parquet"
-                os.replace(temporary, path)
+                storage.move(temporary, path, at)
                 done.append((page, path))
 
         for batch in batches:
@@ -93,8 +102,9 @@ def write_pages(df: DataFrame, key: str, size: int, stem: str, sort: bool = True
                     close()
                     page, low, high = int(ids[a]), min(keys), max(keys)
                     temporary = f"{stem}-{uuid.uuid4().hex}.tmp"
-                    os.makedirs(os.path.dirname(temporary) or ".", exist_ok=True)
-                    writer = pq.ParquetWriter(temporary, part.rename_columns(names).schema.with_metadata(PRODUCER))
+                    storage.make_folder(os.path.dirname(temporary) or ".", at)
+                    system, place = at(temporary)
+                    writer = pq.ParquetWriter(place, filesystem=system, schema=part.rename_columns(names).schema.with_metadata(PRODUCER))
                 low, high = min(low, *keys), max(high, *keys)
                 writer.write_batch(part.rename_columns(names).replace_schema_metadata(PRODUCER))
         close()

@@ -8,11 +8,12 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 from profloom.errors import NoInputDataException
+from profloom.sources import storage
 from profloom.warehouse.catalog import REGISTRY, Catalog
 
 
 def is_warehouse(path: str, registry_file: str = REGISTRY) -> bool:
-    return os.path.isfile(os.path.join(path, registry_file))
+    return storage.is_folder(path) and Catalog(path, registry_file).version() > 0
 
 
 def _only_name(path: str) -> str:
@@ -23,7 +24,7 @@ def list_tables(path: str) -> list[str]:
     """Names of all tables and views; of Parquet data the one name of the file or folder."""
     if is_warehouse(path):
         return Catalog(path).names()
-    if not os.path.exists(path):
+    if not storage.exists(path):
         raise NoInputDataException(f"there is nothing at {path}")
     return [_only_name(path)]
 
@@ -38,7 +39,7 @@ def read_table(spark: SparkSession, path: str, table_name: str | None = None) ->
                 raise NoInputDataException(f"a table name is needed; there are {', '.join(names)}")
             table_name = names[0]
         return catalog.read(spark, table_name)
-    if not os.path.exists(path):
+    if not storage.exists(path):
         raise NoInputDataException(f"there is nothing at {path}")
     if table_name is not None and table_name != _only_name(path):
         raise NoInputDataException(f"{path} holds only the table {_only_name(path)}")
@@ -49,9 +50,10 @@ def _footers(folders: list[str]) -> tuple[int, int]:
     """Rows and files below some folders, from the footers alone."""
     rows = files = 0
     for folder in folders:
-        for name in os.listdir(folder):
+        system, place = storage.locate(folder)
+        for name in storage.files_in(folder):
             if name.endswith(".parquet"):
-                rows += pq.read_metadata(os.path.join(folder, name)).num_rows
+                rows += pq.read_metadata(storage.join(place, name), filesystem=system).num_rows
                 files += 1
     return rows, files
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
@@ -12,6 +10,7 @@ from profloom.errors import ProfileException
 from profloom.functions import ids
 from profloom.plans import harmonize
 from profloom.presets import Preset
+from profloom.sources import storage
 from profloom.sources.images import require_folder
 from profloom.warehouse import images
 from profloom.warehouse.catalog import DEFAULT_NAMESPACE, REGISTRY, Catalog
@@ -45,7 +44,7 @@ def write_warehouse(
     The joined profiles are computed once and stored; crops and source images are derived from the stored
     table. Source images don't depend on whether any crop could be made.
     """
-    if os.path.exists(warehouse_path):
+    if storage.exists(warehouse_path):
         raise FileExistsError(f"{warehouse_path} exists; it isn't overwritten")
     if not config.joins or "join" not in config.page_keys:
         raise ProfileException("a warehouse needs joins and a page key named 'join'")
@@ -71,6 +70,6 @@ def write_warehouse(
                 if whole is not None:
                     catalog.append(f"{images_namespace}.{images.SOURCE_IMAGE_TABLE_NAME}", whole)
     except BaseException:
-        shutil.rmtree(warehouse_path, ignore_errors=True)
+        storage.remove_folder(warehouse_path)
         raise
     return warehouse_path

@@ -1,13 +1,14 @@
 """The catalog: namespaces, tables as lists of Parquet snapshots, and saved views, in one JSON file.
 
-Every change writes a new registry beside the old one and renames it over that, so readers see either
-the old or the new state and a failed append leaves nothing but unreferenced files.
+Every change writes the registry's next version, under its number, if no other writer has: then the change is made
+anew on what that one left. So readers see either the old or the new state, no change is lost, and a failed append leaves
+nothing but unreferenced files. Versions below the newest are history.
 """
 
 from __future__ import annotations
 
 import json
-import os
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from profloom.errors import NoInputDataException, ProfileException, SchemaException
+from profloom.sources import storage
 
 REGISTRY = "catalog.json"
 DATA = "warehouse"
@@ -46,30 +48,37 @@ class Catalog:
     registry_file: str = REGISTRY
     default_namespace: str = DEFAULT_NAMESPACE
 
-    @property
-    def registry(self) -> str:
-        return os.path.join(self.root, self.registry_file)
+    def version(self) -> int:
+        """The number of the newest registry, 0 if there is none."""
+        stem, dot, end = self.registry_file.rpartition(".")
+        pattern = re.compile(re.escape(stem if dot else end) + r"-([0-9]{8,})" + re.escape(dot + end if dot else ""))
+        return max((int(m.group(1)) for n in storage.files_in(self.root) if (m := pattern.fullmatch(n))), default=0)
+
+    def _registry(self, version: int) -> str:
+        stem, dot, end = self.registry_file.rpartition(".")
+        return storage.join(self.root, f"{stem if dot else end}-{version:08d}{dot + end if dot else ''}")
 
     def state(self) -> dict[str, Any]:
-        if not os.path.exists(self.registry):
-            return {"namespaces": [], "tables": {}, "views": {}}
-        with open(self.registry, encoding="utf-8") as f:
-            return json.load(f)
-
-    def _save(self, state: dict[str, Any]) -> None:
-        os.makedirs(self.root, exist_ok=True)
-        new = f"{self.registry}.{uuid.uuid4().hex}.tmp"
-        with open(new, "w", encoding="utf-8") as f:
-            json.dump(state, f, indent=1)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(new, self.registry)
+        return self._load(self.version())
+
+    def _load(self, version: int) -> dict[str, Any]:
+        return json.loads(storage.read_bytes(self._registry(version))) if version else {"namespaces": [], "tables": {}, "views": {}}
+
+    def _change(self, change: Callable[[dict[str, Any]], None]) -> None:
+        """Apply ``change`` to the newest state and save the result as its successor."""
+        while True:
+            version = self.version()
+            state = self._load(version)
+            change(state)
+            if storage.create(self._registry(version + 1), json.dumps(state, indent=1).encode()):
+                return
 
     def create_namespace(self, name: str) -> None:
-        state = self.state()
-        if name not in state["namespaces"]:
-            state["namespaces"].append(name)
-            self._save(state)
+        def add(state: dict[str, Any]) -> None:
+            if name not in state["namespaces"]:
+                state["namespaces"].append(name)
+
+        self._change(add)
 
     def namespaces(self) -> list[str]:
         return list(self.state()["namespaces"])
@@ -80,30 +89,31 @@ class Catalog:
     def view_exists(self, name: str) -> bool:
         return qualified(name, self.default_namespace) in self.state()["views"]
 
-    def create_table(self, name: str, schema: T.StructType) -> None:
+    def create_table(self, name: str, schema: T.StructType, if_missing: bool = False) -> None:
         """Register an empty table."""
-        full, state = qualified(name, self.default_namespace), self.state()
-        if full in state["tables"] or full in state["views"]:
-            raise ProfileException(f"{full} exists already")
+        full = qualified(name, self.default_namespace)
         namespace = full.rpartition(".")[0]
-        if namespace not in state["namespaces"]:
-            state["namespaces"].append(namespace)
-        state["tables"][full] = {"schema": schema.jsonValue(), "snapshots": []}
-        self._save(state)
+
+        def add(state: dict[str, Any]) -> None:
+            if full in state["views"] or (full in state["tables"] and not if_missing):
+                raise ProfileException(f"{full} exists already")
+            if namespace not in state["namespaces"]:
+                state["namespaces"].append(namespace)
+            state["tables"].setdefault(full, {"schema": schema.jsonValue(), "snapshots": []})
+
+        self._change(add)
 
     def append(self, name: str, df: DataFrame) -> str:
         """Add the rows of ``df`` as a snapshot; its columns must be the table's."""
-        full, state = qualified(name, self.default_namespace), self.state()
-        if full not in state["tables"]:
-            self.create_table(full, df.schema)
+        full = qualified(name, self.default_namespace)
+        if full not in self.state()["tables"]:
+            self.create_table(full, df.schema, if_missing=True)
         schema = self.schema(full)
         if [(f.name, f.dataType) for f in df.schema.fields] != [(f.name, f.dataType) for f in schema.fields]:
             raise SchemaException(f"the rows to append don't have the columns of {full}")
         snapshot = uuid.uuid4().hex
-        df.write.parquet(os.path.join(self.root, DATA, *full.split("."), snapshot))
-        state = self.state()
-        state["tables"][full]["snapshots"].append(snapshot)
-        self._save(state)
+        df.write.parquet(storage.join(self.root, DATA, *full.split("."), snapshot))
+        self._change(lambda state: state["tables"][full]["snapshots"].append(snapshot))
         return snapshot
 
     def schema(self, name: str) -> T.StructType:
@@ -113,16 +123,19 @@ class Catalog:
         return list(self.state()["tables"][self.resolve(name)]["snapshots"])
 
     def folders(self, full: str) -> list[str]:
-        return [os.path.join(self.root, DATA, *full.split("."), s) for s in self.state()["tables"][full]["snapshots"]]
+        return [storage.join(self.root, DATA, *full.split("."), s) for s in self.state()["tables"][full]["snapshots"]]
 
     def create_view(self, name: str, kind: str, **definition: Any) -> None:
         if kind not in VIEW_KINDS:
             raise ProfileException(f"unknown kind of view {kind!r}; there are {', '.join(VIEW_KINDS)}")
-        full, state = qualified(name, self.default_namespace), self.state()
-        if full in state["tables"] or full in state["views"]:
-            raise ProfileException(f"{full} exists already")
-        state["views"][full] = {"kind": kind, **definition}
-        self._save(state)
+        full = qualified(name, self.default_namespace)
+
+        def add(state: dict[str, Any]) -> None:
+            if full in state["tables"] or full in state["views"]:
+                raise ProfileException(f"{full} exists already")
+            state["views"][full] = {"kind": kind, **definition}
+
+        self._change(add)
 
     def names(self, include_views: bool = True) -> list[str]:
         state = self.state()

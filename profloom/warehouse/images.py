@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -13,6 +12,7 @@ from pyspark.sql import types as T
 from profloom.functions import ids
 from profloom.functions.naming import quoted
 from profloom.sources import images as files
+from profloom.sources import storage
 from profloom.sources.discovery import expand_path
 from profloom.warehouse.catalog import Catalog, view_kind
 
@@ -79,7 +79,7 @@ def _pictures(rows: DataFrame, folders: Mapping[str, str | None], cut: bool) ->
     Rows are grouped by file and sorted, so a task decodes each image once, and holds one at a time.
     """
     names = rows.columns
-    roots = {k: expand_path(v) if v else None for k, v in folders.items()}
+    roots, at_file = {k: expand_path(v) if v else None for k, v in folders.items()}, storage.resolver()
     schema = T.StructType([*rows.schema.fields, *(T.StructField(f"ome_arrow_{k}", files.IMAGE_TYPE) for k in ("image", "outline", "mask"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +89,7 @@ def _pictures(rows: DataFrame, folders: Mapping[str, str | None], cut: bool) ->
             if path is None or roots[kind] is None:
                 return None
             if held.get(kind, ("",))[0] != path:
-                held[kind] = (path, files.load_image(os.path.join(roots[kind], path)))
+                held[kind] = (path, files.load_image(storage.join(roots[kind], path), at_file))
             image = held[kind][1]
             return files.image_struct(files.crop(image, *bounds) if bounds else image)
 

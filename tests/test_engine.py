@@ -1,4 +1,3 @@
-import json
 import os
 import sqlite3
 
@@ -240,7 +239,7 @@ def test_stream_ingest_is_idempotent(tmp_path, spark, rows):
     go(1)
     go(2)  # all files once more, as after a lost checkpoint
     assert rows(catalog.read(spark, "t")) == sorted([(1, "a"), (2, "b"), (3, "c"), (None, "n")], key=repr)
-    assert json.load(open(catalog.registry))["tables"]["profiles.t"]["snapshots"]
+    assert catalog.state()["tables"]["profiles.t"]["snapshots"]
 
 
 def test_latest_rows(spark, rows):
@@ -275,3 +274,16 @@ def test_wide_tables_and_odd_names(tmp_path, spark):
     assert df.count() == 1 and {f"Cells_{n}" for n in odd} <= set(df.columns) and len(df.columns) == 3 * 304 + 2 + 4 + 2
     paths = convert(spark, str(folder), str(tmp_path / "pages"), concat=False)
     assert set(odd) <= {n.removeprefix("Cells_") for n in spark.read.parquet(*paths).columns}
+
+
+def test_two_writers_lose_nothing(tmp_path, spark):
+    """Appends of several writers at once: each changes what the others left."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "w")
+    df = spark.createDataFrame([(1,)], "x int")
+    with ThreadPoolExecutor(6) as pool:
+        done = list(pool.map(lambda i: Catalog(root).append(f"t{i % 2}", df), range(12)))
+    c = Catalog(f"file://{root}")
+    assert sorted(c.snapshots("t0") + c.snapshots("t1")) == sorted(done) and c.version() >= 14
+    assert c.read(spark, "t0").count() == 6 and c.namespaces() == ["profiles"]
