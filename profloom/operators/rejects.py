@@ -68,13 +68,8 @@ def structural_index(records: pa.Array) -> Structure:
         last = data[np.maximum(end - 1, 0)]
         end = end - ((end > start) & (last == 13))
 
-    # a guard byte before and after all, so that neighbours always exist
-    padded = np.zeros(size + 2, np.uint8)
-    padded[1:-1] = data
-    inside = np.zeros(size + 1, np.int32)
-    np.add.at(inside, start, 1)
-    np.add.at(inside, end, -1)
-    inside = np.cumsum(inside[:size]) > 0
+    inside = np.ones(size, bool)
+    inside[end[end < offsets[1:] - offsets[0]]] = False  # the CR that a record ends with
     record = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     is_start = np.zeros(size + 1, bool)
     is_start[start[end > start]] = True

@@ -9,6 +9,7 @@ from __future__ import annotations
 import logging
 import os
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -95,7 +96,10 @@ def read_profiles(spark: SparkSession, source_path: str, config: Preset, datatyp
     groups, kind = gather_sources(spark, source_path, config.targets or None, datatype)
     if kind != "npz":
         groups = number_tables(spark, groups, add_tablenumber)
-    return ProfileSet({g: read_group(spark, g, s, kind, config, casts, infer, malformed) for g, s in groups.items() if s}, groups)
+    groups_read = [(g, s) for g, s in groups.items() if s]
+    with ThreadPoolExecutor(max(1, min(8, len(groups_read)))) as pool:  # the jobs that find headers and kinds of each group run side by side
+        tables = list(pool.map(lambda x: read_group(spark, *x, kind, config, casts, infer, malformed), groups_read))
+    return ProfileSet({g: df for (g, _), df in zip(groups_read, tables)}, groups)
 
 
 def page_key(group: str, page_keys: Mapping[str, str]) -> str | None:

@@ -50,7 +50,7 @@ KINDS: tuple[tuple[str, T.DataType], ...] = (
     (r"^(true|false|True|False|TRUE|FALSE)$", T.BooleanType()),
     (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?)?$", T.TimestampNTZType()),
 )
-BLOCK = 64 << 20  # bytes of a file per task
+BLOCK = 16 << 20  # bytes of a file per task
 CHUNK = 8 << 20  # bytes that are split at once
 LONGEST = 64 << 20  # bytes after which a record that doesn't end is taken for lines
 
@@ -235,13 +235,13 @@ def _kind_of(column: pa.Array) -> int:
     return bits | (1 << len(KINDS)) if len(left) else bits
 
 
-def _blocks(files: DataFrame, most: int) -> DataFrame:
-    """(header, path, width, start, end, odd, whole) of all blocks of files (header, path, width, size), of which the largest has ``most`` bytes."""
+def _blocks(files: DataFrame, most: int, n: int) -> DataFrame:
+    """(header, path, width, start, end, odd, whole) of all ``n`` blocks of files (header, path, width, size), of which the largest has ``most`` bytes."""
     spark = files.sparkSession
     starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(BLOCK).cast("bigint"))
     blocks = files.withColumn("start", F.explode(starts)).select(
         "header", "path", "width", "start", F.least(F.col("start") + BLOCK, "size").alias("end"), (F.col("size") <= BLOCK).alias("whole")
-    ).repartition(4 * spark.sparkContext.defaultParallelism)
+    ).repartition(min(n, max(4 * spark.sparkContext.defaultParallelism, n // 16)))
     if most <= BLOCK:
         return blocks.withColumn("odd", F.lit(False))
     at = storage.resolver()
@@ -299,7 +299,8 @@ def inspect(spark: SparkSession, sources: Sequence[Source], malformed: str = "fi
     if not known:
         raise NoInputDataException("none of the files can be read")
     listed = [(i, f["path"], len(names), f["size"]) for i, (names, files) in enumerate(known) for f in files]
-    blocks = _blocks(spark.createDataFrame(listed, "header int, path string, width int, size bigint"), max(x[3] for x in listed))
+    sizes = [x[3] for x in listed]
+    blocks = _blocks(spark.createDataFrame(listed, "header int, path string, width int, size bigint"), max(sizes), sum(max(1, -(-n // BLOCK)) for n in sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: dict[int, np.ndarray] = {}
@@ -311,8 +312,7 @@ def inspect(spark: SparkSession, sources: Sequence[Source], malformed: str = "fi
                     valid = np.flatnonzero(j.reason == "")
                     bad |= len(valid) < len(j.reason)
                     breaks = breaks or bool(pc.any(pc.match_substring_regex(j.texts.take(pa.array(valid)), "(?s)\n|\r.")).as_py())
-                    for at_row in range(0, len(valid), 4096):
-                        bits |= np.fromiter(map(_kind_of, _columns(j, valid[at_row : at_row + 4096], block["width"])), np.int32, block["width"])
+                    bits |= np.fromiter(map(_kind_of, _columns(j, valid, block["width"])), np.int32, block["width"])
                 if block["whole"] and (malformed == "rows" or not bad):
                     have = whole.setdefault(block["header"], np.zeros(block["width"], np.int32))
                     have |= bits
@@ -361,7 +361,7 @@ def split_records(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     at = storage.resolver()
     headers = by_header(spark, [s.path for s in sources]).where("header IS NOT NULL")
     files = headers.select(F.lit(0).alias("header"), "path", F.json_array_length("header").alias("width"), "size")
-    most = files.agg(F.max("size")).first()[0] or 0
+    about = files.agg(F.coalesce(F.max("size"), F.lit(0)).alias("most"), F.coalesce(F.sum(F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK))), F.lit(1)).alias("n")).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,7 +377,7 @@ def split_records(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
                     for i in range(0, n, 4096):
                         yield whole.slice(i, 4096)
 
-    return _blocks(files, most).mapInArrow(run, "path string, at bigint, reason string, raw string, fields array<string>")
+    return _blocks(files, about["most"], max(1, int(about["n"]))).mapInArrow(run, "path string, at bigint, reason string, raw string, fields array<string>")
 
 
 def rejected_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
