@@ -233,14 +233,21 @@ def percentiles(summaries: DataFrame, groups: list[str], percents: list[int]) ->
     return summaries.mapInArrow(run, T.StructType(fields))
 
 
-def well_values(ph3: DataFrame, image: DataFrame) -> DataFrame:
-    """(metadata_plate, metadata_well, x) of every PH3 object once, with its image's plate and well.
+def merge_parts(summaries: DataFrame, part: str, groups: list[str], eps: float = EPSILON) -> DataFrame:
+    """One summary per group of summaries that were made and kept by ``part`` (a day, a file), whose lanes the parts are spread over."""
+    lanes = ceil(sqrt(int(summaries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    lane = F.pmod(F.xxhash64(part), F.lit(lanes)).cast("bigint")
+    return merge_summaries(summaries.withColumn("lane", lane).drop(part), groups, eps)
+
+
+def well_values(ph3: DataFrame, image: DataFrame, by_day: bool = False) -> DataFrame:
+    """(metadata_plate, metadata_well, x) of every PH3 object once, with its image's plate and well, and if wanted the day it first came.
 
     Objects of several rows count with the least of their values (rows of one object agree).
     """
     x = F.col("Location_Center_X")
     key = ["TableNumber", "ImageNumber"]
-    objects = ph3.where(x.isNotNull() & ~F.isnan(x)).groupBy(*key, "ObjectNumber").agg(F.min(x).alias("x"))
+    objects = ph3.where(x.isNotNull() & ~F.isnan(x)).groupBy(*key, "ObjectNumber").agg(F.min(x).alias("x"), *([F.min("loaded_at").cast("date").alias("day")] if by_day else []))
     wells = (
         image.groupBy(*key).agg(F.max("Metadata_Plate").alias("metadata_plate"), F.max("Metadata_Well").alias("metadata_well"))
         .where("metadata_plate IS NOT NULL AND metadata_well IS NOT NULL")
@@ -249,7 +256,13 @@ def well_values(ph3: DataFrame, image: DataFrame) -> DataFrame:
     # a join of two plain exchanges is split by adaptive skew handling where one image has very many objects
     both = [*key, "__hash"]
     objects, wells = (df.withColumn("__hash", F.xxhash64(*key)) for df in (objects, wells))
-    return objects.join(wells, both).select("metadata_plate", "metadata_well", "x")
+    return objects.join(wells, both).select("metadata_plate", "metadata_well", "x", *(["day"] if by_day else []))
+
+
+def daily_summaries(ph3: DataFrame, image: DataFrame, eps: float = EPSILON) -> DataFrame:
+    """A summary per well and day: what a daily run stores, to be merged into percentiles of any span of days."""
+    groups = ["metadata_plate", "metadata_well", "day"]
+    return merge_summaries(summarize(well_values(ph3, image, by_day=True), groups, "x", eps), groups, eps)
 
 
 def well_percentiles(ph3: DataFrame, image: DataFrame, percents: list[int], eps: float = EPSILON) -> DataFrame:

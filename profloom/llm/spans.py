@@ -9,8 +9,12 @@ windows always collide. Consecutive windows with the same minimum at the same pl
 * blocks that are equal as a whole in two records are shared, every window of them;
 * of the other colliding blocks the windows are compared one by one, from the records' text;
 
-and the shared windows of a record are joined into its maximal stretches. All comparisons are by two
-independent 64-bit hashes (of the shingle and of the block or window).
+and the shared windows of a record are joined into its maximal stretches. Characters aren't compared one by
+one: texts count as equal if two 64-bit hashes of unrelated bases agree, that of the least shingle and that of
+the block or window. Both are polynomials modulo 2^64, for which there are words whose hashes agree in
+some low bits whatever the base. Within the at most 300 characters of a block these words (of 128 and 256
+letters) fix 34 and 43 bits of each hash, so that 30 and 21 bits a hash still tell even them apart; texts not built so
+agree with probability 2^-128 a pair.
 
 Scale. Blocks that occur in two records read by the same task are settled there and only one
 representative goes on, so a disclaimer in a third of all records costs one row per task and block.

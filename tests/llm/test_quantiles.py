@@ -110,3 +110,18 @@ def test_found_equals_sql(spark, data):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     expected = sorted(db.execute(SQL["p3_found"]).fetchall())
     assert sorted(map(tuple, QUERIES["p3_found"](spark, data).collect())) == expected
+
+
+@pytest.mark.parametrize("eps", [0.004, 0.05])
+def test_summaries_of_days_are_merged(spark, eps):
+    """Summaries stored by day give, once merged, percentiles within the bound that they tell."""
+    rng = np.random.default_rng(8)
+    values = [(int(g), f"2024-01-{d:02d}", float(v)) for g, d, v in zip(rng.integers(0, 2, 20_000), rng.integers(1, 29, 20_000), rng.normal(size=20_000))]
+    df = spark.createDataFrame(values, "g int, day string, v double")
+    by_day = q.merge_summaries(q.summarize(df, ["g", "day"], "v", eps), ["g", "day"], eps)
+    assert by_day.count() == 56
+    for r in q.percentiles(q.merge_parts(by_day, "day", ["g"], eps), ["g"], [10, 50, 90]).collect():
+        own = np.sort([v for g, _, v in values if g == r["g"]])
+        assert r["n"] == len(own) and r["gap"] <= 4 * eps * len(own) + 2
+        for p in (10, 50, 90):
+            assert abs(np.searchsorted(own, r[f"p{p}"]) + 1 - np.ceil(p * len(own) / 100)) <= r["gap"] / 2 + 1
