@@ -18,6 +18,25 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_report(p1_found(spark, sf_dir))
 
 
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of ph3 to nuclei whose key may be null in part, under each match semantics."""
+    key = ["TableNumber", "ImageNumber", "ObjectNumber"]
+    nuclei, ph3 = table(spark, sf_dir, "nuclei"), table(spark, sf_dir, "ph3")
+    known = orphans.parent_states(nuclei.where("TableNumber IS NOT NULL AND ImageNumber IS NOT NULL AND ObjectNumber IS NOT NULL"), key, "loaded_at", "removed_at")
+    marks = orphans.earliest_children(ph3, key, ["Parent_Nuclei", "Location_Center_X"], "loaded_at").select(
+        F.col("TableNumber").alias("t"), F.col("ImageNumber").alias("i"), F.col("ObjectNumber").alias("o"), F.col("loaded_at").alias("at"),
+        F.when(F.col("Parent_Nuclei") > 0, F.col("Parent_Nuclei")).alias("ref"),
+        # where the place of an object isn't known, neither is its image
+        F.when(F.col("Location_Center_X").isNotNull() & ~F.isnan("Location_Center_X"), F.col("ImageNumber")).alias("image"),
+    )
+    found = None
+    for match in orphans.MATCHES:
+        own = orphans.find_orphans(marks, known, [("t", "TableNumber"), ("image", "ImageNumber"), ("ref", "ObjectNumber")], "at", match)
+        own = own.select(F.lit(match).alias("match"), F.col("t").alias("table_number"), F.col("i").alias("image_number"), F.col("o").alias("object_number"), "state")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.dropped_records(compaction.small_file_records(table(spark, sf_dir, "nuclei_file")))
 
@@ -57,7 +76,7 @@ def p5_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_compact, p4_found, p4_table, p5_found, p5_image, p5_experiment)
+    f.__name__: f for f in (p1_found, p1_report, p1_matches, p2_found, p2_compact, p4_found, p4_table, p5_found, p5_image, p5_experiment)
 }
 
 _P1 = """
@@ -175,6 +194,24 @@ reasons AS (
 SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT * FROM found WHERE state IS NOT NULL",
     "p1_report": _P1 + "SELECT child_name, parent_name, state, period, count(*) AS n_orphans FROM found WHERE state IS NOT NULL GROUP BY ALL",
+    "p1_matches": """
+WITH marks AS (
+  SELECT t, i, o, seen, CASE WHEN p > 0 THEN p END AS ref, CASE WHEN x IS NOT NULL AND CAST(x AS VARCHAR) <> 'nan' THEN i END AS image
+  FROM (SELECT TableNumber AS t, ImageNumber AS i, ObjectNumber AS o, min(loaded_at) AS seen, arg_min_null(Parent_Nuclei, loaded_at) AS p, arg_min_null(Location_Center_X, loaded_at) AS x FROM ph3 GROUP BY ALL)),
+objects AS (
+  SELECT TableNumber AS t, ImageNumber AS i, ObjectNumber AS o, min(loaded_at) FILTER (removed_at IS NULL) AS live FROM nuclei
+  WHERE TableNumber IS NOT NULL AND ImageNumber IS NOT NULL AND ObjectNumber IS NOT NULL GROUP BY ALL),
+parents AS (
+  SELECT 7 AS mask, t, i, o, live FROM objects UNION ALL SELECT 6, t, i, NULL, min(live) FROM objects GROUP BY t, i UNION ALL SELECT 5, t, NULL, o, min(live) FROM objects GROUP BY t, o
+  UNION ALL SELECT 3, NULL, i, o, min(live) FROM objects GROUP BY i, o UNION ALL SELECT 4, t, NULL, NULL, min(live) FROM objects GROUP BY t
+  UNION ALL SELECT 2, NULL, i, NULL, min(live) FROM objects GROUP BY i UNION ALL SELECT 1, NULL, NULL, o, min(live) FROM objects GROUP BY o),
+refs AS (SELECT *, 4 * CAST(t IS NOT NULL AS INTEGER) + 2 * CAST(image IS NOT NULL AS INTEGER) + CAST(ref IS NOT NULL AS INTEGER) AS mask FROM marks),
+states AS (
+  SELECT r.*, CASE WHEN p.mask IS NULL THEN 'missing' WHEN live IS NULL THEN 'removed' WHEN live > seen THEN 'late' END AS state
+  FROM refs r LEFT JOIN parents p ON r.mask = p.mask AND r.t IS NOT DISTINCT FROM p.t AND r.image IS NOT DISTINCT FROM p.i AND r.ref IS NOT DISTINCT FROM p.o WHERE r.mask > 0)
+SELECT 'simple' AS match, t AS table_number, i AS image_number, o AS object_number, state FROM states WHERE mask = 7 AND state IS NOT NULL
+UNION ALL SELECT 'partial', t, i, o, state FROM states WHERE state IS NOT NULL
+UNION ALL SELECT 'full', t, i, o, CASE WHEN mask < 7 THEN 'missing' ELSE state END FROM states WHERE mask < 7 OR state IS NOT NULL""",
     "p2_found": _P2 + "SELECT file_id, line_no FROM records QUALIFY row_number() OVER (PARTITION BY table_number, i, o, c ORDER BY file_id, line_no) > 1",
     "p2_compact": _P2 + "SELECT DISTINCT table_number, i AS image_number, o AS object_number, c AS c0 FROM records",
     "p4_found": _P4,
