@@ -15,6 +15,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,12 +24,14 @@ from profloom.errors import DatatypeException, ProfileException
 from profloom.functions.ids import IMAGE_SUFFIXES
 from profloom.sources import storage
 from profloom.sources.discovery import expand_path, walk_files
+from profloom.sources.rasters import TIFF_COMPRESSIONS, read_zarr, unpredicted
 
 IMAGE_TYPE = T.StructType([T.StructField("shape", T.ArrayType(T.IntegerType())), T.StructField("dtype", T.StringType()), T.StructField("pixels", T.BinaryType())])
 ARROW_IMAGE = pa.struct([("shape", pa.list_(pa.int32())), ("dtype", pa.string()), ("pixels", pa.binary())])
 
 # Tags, and sizes and codes of the element types, of the TIFF format.
 SUBFILE, WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS, COUNTS, PREDICTOR, TILE, FORMAT = 254, 256, 257, 258, 259, 273, 277, 278, 279, 317, 322, 339
+PLANAR, TILE_HEIGHT, TILES, TILE_COUNTS = 284, 323, 324, 325
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 16: 8}
 CODES = {1: "B", 3: "H", 4: "I", 16: "Q"}
 
@@ -57,22 +60,29 @@ def _directories(data: bytes, order: str) -> Iterator[dict[int, tuple]]:
 
 
 def _plane(data: bytes, order: str, tags: Mapping[int, tuple]) -> np.ndarray:
-    """The pixels of one directory."""
-    if TILE in tags:
-        raise DatatypeException("tiled TIFF files can't be read")
-    compression = tags.get(COMPRESSION, (1,))[0]
-    if compression not in (1, 8, 32946) or tags.get(PREDICTOR, (1,))[0] != 1:
+    """The pixels of one directory, put together from its strips or tiles."""
+    compression, predictor = tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0]
+    if compression not in TIFF_COMPRESSIONS:
         raise DatatypeException(f"TIFF compression {compression} can't be read")
     height, width, samples = tags[HEIGHT][0], tags[WIDTH][0], tags.get(SAMPLES, (1,))[0]
     kind = {1: "u", 2: "i", 3: "f"}[tags.get(FORMAT, (1,))[0]]
     dtype = np.dtype(f"{order}{kind}{tags.get(BITS, (8,))[0] // 8}")
-    raw = b"".join(zlib.decompress(data[o : o + n]) if compression != 1 else data[o : o + n] for o, n in zip(tags[STRIPS], tags[COUNTS]))
-    image = np.frombuffer(raw, dtype, height * width * samples).reshape((height, width, samples) if samples > 1 else (height, width))
-    return image.astype(dtype.newbyteorder("="))
+    apart = samples if tags.get(PLANAR, (1,))[0] == 2 else 1  # samples in planes of their own
+    tiled = TILE in tags
+    rows, columns = (tags[TILE_HEIGHT][0], tags[TILE][0]) if tiled else (min(height, tags.get(ROWS, (height,))[0]), width)
+    offsets, counts = (tags[TILES], tags[TILE_COUNTS]) if tiled else (tags[STRIPS], tags[COUNTS])
+    places = [(s, y, x) for s in range(apart) for y in range(0, height, rows) for x in range(0, width, columns)]
+    out = np.zeros((height, width, samples), dtype.newbyteorder("="))
+    for (s, y, x), at, n in zip(places, offsets, counts):
+        shape = (rows if tiled else min(rows, height - y), columns, samples // apart)
+        part = unpredicted(TIFF_COMPRESSIONS[compression](data[at : at + n]), shape, dtype, predictor)
+        channels = slice(s, s + 1) if apart > 1 else slice(None)
+        out[y : y + rows, x : x + columns, channels] = part[: height - y, : width - x]
+    return out if samples > 1 else out[:, :, 0]
 
 
 def decode_tiff(data: bytes) -> np.ndarray:
-    """All images of an uncompressed or deflated TIFF in strips, 8 to 64 bits a sample.
+    """All images of a TIFF in strips or tiles, 8 to 64 bits a sample, uncompressed or by deflate, LZW or PackBits, with any predictor.
 
     One image is (height, width) or (height, width, samples), several are (planes, height, width, samples) in the
     order of the file. Directories marked as smaller copies of another are no planes.
@@ -102,7 +112,17 @@ def encode_tiff(image: np.ndarray, deflate: bool = False) -> bytes:
 
 
 def load_image(path: str, at: storage.Locate = storage.locate) -> np.ndarray:
-    return decode_tiff(storage.read_bytes(path, at))
+    """A TIFF file, or the array of a zarr folder, whose leading axes are planes."""
+    if not path.lower().endswith(".zarr"):
+        return decode_tiff(storage.read_bytes(path, at))
+
+    def read(name: str) -> bytes | None:
+        system, place = at(f"{path}/{name}")
+        return storage.read_bytes(f"{path}/{name}", at) if system.get_file_info(place).type == fs.FileType.File else None
+
+    image = read_zarr(read)
+    planes = image.reshape(-1, *image.shape[-2:])
+    return planes[0] if len(planes) == 1 else planes[..., None]
 
 
 def image_struct(image: np.ndarray | None) -> dict | None:

@@ -22,6 +22,9 @@ from profloom.sources import storage
 PRODUCER = {b"data-producer": b"profloom", b"data-producer-version": __version__.encode()}
 
 
+IN_MEMORY = 4 << 30  # bytes of numbers up to which a result goes through the driver
+
+
 def check_free(path: str) -> None:
     """An error if ``path`` exists already."""
     if storage.exists(path):
@@ -115,7 +118,7 @@ def write_pages(df: DataFrame, key: str, size: int, stem: str, sort: bool = True
 
 
 def write_anndata(df: DataFrame, path: str, datatype: str) -> str:
-    """Numeric columns as X, all others as obs; needs the anndata package."""
+    """Numeric columns as X, all others as obs; needs the anndata package, and a result that the driver can hold, which is measured first."""
     if datatype not in ("anndata_h5ad", "anndata_zarr"):
         raise DatatypeException(f"unknown AnnData format {datatype!r}")
     try:
@@ -123,6 +126,9 @@ def write_anndata(df: DataFrame, path: str, datatype: str) -> str:
     except ImportError as e:
         raise ImportError(f"{datatype} needs the package anndata, which isn't installed") from e
     numeric, rest = split_numeric(df.schema)
+    cells = df.count() * len(df.columns)
+    if cells * 8 > IN_MEMORY:
+        raise DatatypeException(f"{cells} cells are too many for one {datatype} file; write Parquet")
     frame = df.toPandas()
     data = anndata.AnnData(X=frame[numeric].to_numpy(), obs=frame[rest].rename(index=str))
     data.var_names = numeric

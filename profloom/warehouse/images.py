@@ -76,7 +76,8 @@ def with_files(long: DataFrame, image_dir: str, mask_dir: str | None, outline_di
 def _pictures(rows: DataFrame, folders: Mapping[str, str | None], cut: bool) -> DataFrame:
     """Read image, mask and outline of each row, whole or cut by its box.
 
-    Rows are grouped by file and sorted, so a task decodes each image once, and holds one at a time.
+    Rows are grouped by file and sorted, so a task decodes each image once, and holds one at a time. An image with very many
+    objects is split over tasks at run time.
     """
     names = rows.columns
     roots, at_file = {k: expand_path(v) if v else None for k, v in folders.items()}, storage.resolver()
@@ -100,7 +101,7 @@ def _pictures(rows: DataFrame, folders: Mapping[str, str | None], cut: bool) ->
                 new = [pa.array([picture(k, p, b) for p, b in zip(part[f"{k}_path"].to_pylist(), bounds)], files.ARROW_IMAGE) for k in ("image", "outline", "mask")]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*names, *(f"ome_arrow_{k}" for k in ("image", "outline", "mask"))])
 
-    return rows.repartition("image_path").sortWithinPartitions("image_path").mapInArrow(run, schema)
+    return rows.hint("rebalance", "image_path").sortWithinPartitions("image_path").mapInArrow(run, schema)
 
 
 def crop_table(profiles: DataFrame, image_dir: str, mask_dir: str | None = None, outline_dir: str | None = None, patterns: Mapping[str, str] | None = None, given: Mapping[str, str] | None = None) -> DataFrame | None:

@@ -9,7 +9,7 @@ import pytest
 
 from profloom.errors import DatatypeException, NoInputDataException, SchemaException
 from profloom.plans import harmonize, profiles
-from profloom.sources import delimited, discovery, images, npz, sinks, sqlite
+from profloom.sources import delimited, discovery, images, npz, rasters, sinks, sqlite
 from profloom.sources.discovery import Source
 from profloom.warehouse import images as picture_tables
 
@@ -257,3 +257,115 @@ def test_sinks(tmp_path, spark, rows):
         sinks.write_anndata(df, "x", "loom")
     with pytest.raises(ImportError, match="anndata"):
         sinks.write_anndata(df, "x", "anndata_h5ad")
+
+
+def lzw_codes(data):
+    """LZW of TIFF: codes from the high bit, one bit more a code early, the table anew when it is full."""
+    out, codes, known, word, width = [], [(256, 9)], {bytes([i]): i for i in range(256)}, b"", 9
+    n = 258
+    for b in data:
+        longer = word + bytes([b])
+        if longer in known:
+            word = longer
+            continue
+        codes.append((known[word], width))
+        known[longer] = n
+        n += 1
+        width = 9 + (n > 511) + (n > 1023) + (n > 2047)
+        if n == 4094:
+            codes.append((256, width))
+            known, n, width = {bytes([i]): i for i in range(256)}, 258, 9
+        word = bytes([b])
+    if word:
+        codes.append((known[word], width))
+        n += 1
+        width = 9 + (n > 511) + (n > 1023) + (n > 2047)
+    bits = "".join(format(c, f"0{w}b") for c, w in [*codes, (257, width)])
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_lzw_and_packed_runs():
+    rng = np.random.default_rng(3)
+    for data in (b"", b"a", b"aaaaaaa" * 50, bytes(rng.integers(0, 4, 30_000, dtype=np.uint8)), bytes(rng.integers(0, 256, 20_000, dtype=np.uint8))):
+        assert rasters.lzw(lzw_codes(data)) == data
+    assert rasters.packed_runs(bytes([2, 1, 2, 3, 254, 9, 128, 0, 5])) == bytes([1, 2, 3, 9, 9, 9, 5])
+    with pytest.raises(DatatypeException):
+        rasters.lzw(bytes([0x80, 0x7F, 0xFF]))
+
+
+def tiff(image, rows, columns, compression, predictor, tiled, apart=False, order="<"):
+    """A TIFF file in strips or tiles."""
+    image = image if image.ndim == 3 else image[:, :, None]
+    height, width, samples = image.shape
+    packers = {1: bytes, 5: lzw_codes, 8: zlib.compress}
+    parts = []
+    for plane in np.split(image, samples, axis=2) if apart else [image]:
+        for y in range(0, height, rows):
+            for x in range(0, width, columns):
+                part = plane[y : y + rows, x : x + columns]
+                if tiled:
+                    part = np.pad(part, [(0, rows - part.shape[0]), (0, columns - part.shape[1]), (0, 0)])
+                if predictor == 2:
+                    part = np.diff(part, axis=1, prepend=np.zeros_like(part[:, :1]))
+                raw = part.astype(part.dtype.newbyteorder(order)).tobytes()
+                if predictor == 3:
+                    h, w, s = part.shape
+                    size = part.dtype.itemsize
+                    planes = part.astype(part.dtype.newbyteorder(">")).reshape(h, w * s).view(np.uint8).reshape(h, w * s, size).transpose(0, 2, 1).reshape(h, w * size, s)
+                    raw = np.diff(planes, axis=1, prepend=np.zeros_like(planes[:, :1])).astype(np.uint8).tobytes()
+                parts.append(packers[compression](raw))
+    kind = {"u": 1, "i": 2, "f": 3}[image.dtype.kind]
+    body, at = b"".join(parts), [8 + sum(map(len, parts[:i])) for i in range(len(parts))]
+    entries = [(256, 4, [width]), (257, 4, [height]), (258, 3, [image.dtype.itemsize * 8] * samples), (259, 3, [compression]), (277, 3, [samples]), (284, 3, [2 if apart else 1]), (317, 3, [predictor]), (339, 3, [kind] * samples)]
+    entries += [(322, 4, [columns]), (323, 4, [rows]), (324, 4, at), (325, 4, list(map(len, parts)))] if tiled else [(273, 4, at), (278, 4, [rows]), (279, 4, list(map(len, parts)))]
+    table, extra = b"", b""
+    end = 8 + len(body) + 2 + 12 * len(entries) + 4
+    for tag, k, values in sorted(entries):
+        packed = struct.pack(f"{order}{len(values)}{'I' if k == 4 else 'H'}", *values)
+        if len(packed) > 4:
+            packed, extra = struct.pack(order + "I", end + len(extra)), extra + packed
+        table += struct.pack(order + "HHI", tag, k, len(values)) + packed.ljust(4, b"\0")
+    return struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 8 + len(body)) + body + struct.pack(order + "H", len(entries)) + table + struct.pack(order + "I", 0) + extra
+
+
+@pytest.mark.parametrize(("dtype", "predictor"), [(np.uint8, 1), (np.uint16, 2), (np.int32, 2), (np.float32, 3), (np.float64, 3), (np.float32, 1)])
+@pytest.mark.parametrize("compression", [1, 5, 8])
+@pytest.mark.parametrize(("tiled", "apart", "order"), [(True, False, "<"), (False, False, ">"), (True, True, ">")])
+def test_tiles_strips_and_predictors(dtype, predictor, compression, tiled, apart, order):
+    rng = np.random.default_rng(5)
+    for shape in ((37, 50), (33, 16, 3)):
+        image = (rng.normal(size=shape) * 50).astype(dtype)
+        data = tiff(image, 16, 16 if tiled else shape[1], compression, predictor, tiled, apart and len(shape) == 3, order)
+        assert np.array_equal(images.decode_tiff(data), image)
+
+
+@pytest.mark.parametrize("version", [2, 3])
+def test_zarr_folders(tmp_path, version):
+    import gzip
+    import json
+
+    image = np.arange(2 * 3 * 7 * 9, dtype=np.uint16).reshape(1, 2, 3, 7, 9)
+    root = tmp_path / "a.ome.zarr"
+    chunks = (1, 1, 2, 4, 5)
+    (root / "0").mkdir(parents=True)
+    scales = {"multiscales": [{"datasets": [{"path": "0"}, {"path": "1"}]}]}
+    if version == 2:
+        (root / ".zattrs").write_text(json.dumps(scales))
+        (root / "0" / ".zarray").write_text(json.dumps({"shape": image.shape, "chunks": chunks, "dtype": "<u2", "compressor": {"id": "zlib", "level": 1}, "fill_value": 0, "filters": None, "order": "C", "dimension_separator": "/"}))
+    else:
+        (root / "zarr.json").write_text(json.dumps({"node_type": "group", "attributes": {"ome": scales}}))
+        about = {"node_type": "array", "shape": image.shape, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": chunks}}, "data_type": "uint16", "fill_value": 0, "codecs": [{"name": "bytes", "configuration": {"endian": "big"}}, {"name": "gzip"}]}
+        (root / "0" / "zarr.json").write_text(json.dumps(about))
+    for at in np.ndindex(*(-(-n // c) for n, c in zip(image.shape, chunks))):
+        part = image[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, chunks))]
+        part = np.pad(part, [(0, c - n) for c, n in zip(chunks, part.shape)])
+        path = (root / "0" / ("" if version == 2 else "c")).joinpath(*map(str, at))
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(zlib.compress(part.tobytes()) if version == 2 else gzip.compress(part.astype(">u2").tobytes()))
+    assert images.list_images(str(tmp_path)) == ["a.ome.zarr"] == images.list_images(f"file://{tmp_path}")
+    got = images.load_image(str(root))
+    assert got.shape == (6, 7, 9, 1) and np.array_equal(got[..., 0], image.reshape(6, 7, 9))
+    assert images.crop(got, 2, 5, 1, 4).shape == (6, 3, 3, 1)
+    with pytest.raises(DatatypeException):
+        (tmp_path / "b.zarr").mkdir()
+        images.load_image(str(tmp_path / "b.zarr"))
