@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from profloom.api import Catalog, DatatypeException, NoInputDataException, ProfileException, SchemaException, convert, describe_warehouse, list_tables, read_table
-from profloom.operators.pages import page_ranges
+from profloom.operators.pages import page_ranges, sorted_by
 from profloom.plans import dialect, harmonize
 from profloom.plans.joins import JoinSpec, join_compartments
 from profloom.plans.options import check_options
@@ -287,3 +287,21 @@ def test_two_writers_lose_nothing(tmp_path, spark):
     c = Catalog(f"file://{root}")
     assert sorted(c.snapshots("t0") + c.snapshots("t1")) == sorted(done) and c.version() >= 14
     assert c.read(spark, "t0").count() == 6 and c.namespaces() == ["profiles"]
+
+
+def test_sorted_output_spreads_equal_page_keys(spark):
+    """Rows of one object number go to several tasks, by the keys behind it, in an order that is always the same."""
+    names = ["Metadata_ObjectNumber_1", "Metadata_ImageNumber", "X", "Cytoplasm_Number_Object_Number", "Metadata_TableNumber", "Metadata_ObjectNumber"]
+    keys = harmonize.sort_keys(names, "Cytoplasm_Number_Object_Number")
+    assert keys == ["Metadata_TableNumber", "Metadata_ImageNumber", "Metadata_ObjectNumber"]
+    df = spark.range(20_000).select(F.lit(1).alias("Cytoplasm_Number_Object_Number"), F.col("id").alias("Metadata_ImageNumber"))
+    ordered = sorted_by(df, "Cytoplasm_Number_Object_Number", *harmonize.sort_keys(df.columns, "Cytoplasm_Number_Object_Number"))
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(Cytoplasm_Number_Object_Number" in plan and "Metadata_ImageNumber#" in plan.split("rangepartitioning")[1].split(")")[0]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["n"] for r in ordered.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) == 4 and max(sizes) < 10_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
