@@ -294,7 +294,7 @@ def test_sorted_output_spreads_equal_page_keys(spark):
     names = ["Metadata_ObjectNumber_1", "Metadata_ImageNumber", "X", "Cytoplasm_Number_Object_Number", "Metadata_TableNumber", "Metadata_ObjectNumber"]
     keys = harmonize.sort_keys(names, "Cytoplasm_Number_Object_Number")
     assert keys == ["Metadata_TableNumber", "Metadata_ImageNumber", "Metadata_ObjectNumber"]
-    df = spark.range(20_000).select(F.lit(1).alias("Cytoplasm_Number_Object_Number"), F.col("id").alias("Metadata_ImageNumber"))
+    df = spark.createDataFrame([(1, i) for i in range(20_000)], "Cytoplasm_Number_Object_Number int, Metadata_ImageNumber int")
     ordered = sorted_by(df, "Cytoplasm_Number_Object_Number", *harmonize.sort_keys(df.columns, "Cytoplasm_Number_Object_Number"))
     plan = ordered._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning(Cytoplasm_Number_Object_Number" in plan and "Metadata_ImageNumber#" in plan.split("rangepartitioning")[1].split(")")[0]
