@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from profloom.functions.naming import quoted
 from profloom.operators import compaction, drift, orphans, rejects
 from profloom.plans import Query, table
 from profloom.runtime import cut_lineage, shared_path, shuffle_partitions
@@ -57,6 +58,14 @@ def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.consistent_table(table(spark, sf_dir, "image_file"))
 
 
+def p4_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each column of the consistent table its type and how many values it holds."""
+    df = drift.consistent_table(table(spark, sf_dir, "image_file")).drop("file_id")
+    counted = df.agg(*(F.count(F.col(quoted(n))).alias(n) for n in df.columns))
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("column_name"), F.lit(t).alias("data_type"), F.col(quoted(n)).alias("n_values")) for n, t in df.dtypes)))
+    return counted.select(rows.alias("c")).select("c.*")
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, rejects.Layout]:
     layout = rejects.read_layout(table(spark, sf_dir, "raw_field"), table(spark, sf_dir, "experiment_key"))
     return rejects.split_rows(table(spark, sf_dir, "raw_row"), layout), layout
@@ -76,7 +85,7 @@ def p5_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_matches, p2_found, p2_compact, p4_found, p4_table, p5_found, p5_image, p5_experiment)
+    f.__name__: f for f in (p1_found, p1_report, p1_matches, p2_found, p2_compact, p4_found, p4_table, p4_columns, p5_found, p5_image, p5_experiment)
 }
 
 _P1 = """
@@ -215,6 +224,9 @@ UNION ALL SELECT 'full', t, i, o, CASE WHEN mask < 7 THEN 'missing' ELSE state E
     "p2_found": _P2 + "SELECT file_id, line_no FROM records QUALIFY row_number() OVER (PARTITION BY table_number, i, o, c ORDER BY file_id, line_no) > 1",
     "p2_compact": _P2 + "SELECT DISTINCT table_number, i AS image_number, o AS object_number, c AS c0 FROM records",
     "p4_found": _P4,
+    "p4_columns": _P4[: _P4.index("texts AS (")].rstrip().removesuffix(",") + """
+SELECT min(field) AS column_name, CASE coalesce(max(c.kind), 0) WHEN 1 THEN 'bigint' WHEN 2 THEN 'double' ELSE 'string' END AS data_type, count(*) FILTER (c.kind > 0) AS n_values
+FROM fields LEFT JOIN cells c USING (file_id, series_id, n, field) GROUP BY lower(field)""",
     "p5_found": _P5 + "SELECT raw_id, reason FROM reasons WHERE reason IS NOT NULL",
     "p5_image": _P5 + """
 SELECT raw_id, CAST(nullif(f[1], '') AS BIGINT) AS ImageNumber, nullif(f[2], '') AS Metadata_Plate, nullif(f[3], '') AS Metadata_Well,
