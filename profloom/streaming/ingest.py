@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,20 +26,26 @@ def ingest(
 ) -> StreamingQuery:
     """Append new Parquet files below ``source`` to a warehouse table, rows of a known key excepted.
 
-    The stream's checkpoint remembers the files; the anti-join on ``key`` makes a batch that is
-    repeated after a failure harmless.
+    The stream's checkpoint remembers the files; leaving out the keys that are stored makes a batch that is
+    repeated after a failure harmless. Of the table only the key columns are read, without an exchange where the batch is small.
     """
 
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return reduce(and_, (a[k].eqNullSafe(b[k]) for k in key))
+
     def add(batch: DataFrame, _: int) -> None:
         rows = transform(batch).dropDuplicates(key)
-        if catalog.table_exists(table):
-            known = catalog.read(batch.sparkSession, table).select(*key)
-            same = None
-            for k in key:
-                c = rows[k].eqNullSafe(known[k])
-                same = c if same is None else same & c
-            rows = rows.join(known, same, "left_anti")
-        catalog.append(table, rows)
+        if not catalog.table_exists(table):
+            catalog.append(table, rows)
+            return
+        rows = rows.persist()  # used twice; lost parts are read again from the batch's files
+        try:
+            rows.count()  # its size is known then, and a small batch is broadcast to the table's key columns, which stay where they are
+            known, keys = catalog.read(batch.sparkSession, table).select(*key), rows.select(*key)
+            seen = known.join(keys, same(known, keys), "left_semi").distinct()
+            catalog.append(table, rows.join(seen, same(rows, seen), "left_anti"))
+        finally:
+            rows.unpersist()
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
