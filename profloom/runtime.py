@@ -27,12 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
-        return configured
+        return _with_slashes(configured)
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="profloom-"))
-    return sc.getCheckpointDir()
+    return _with_slashes(sc.getCheckpointDir())
+
+
+def _with_slashes(path: str) -> str:
+    """``file:/folder``, as Hadoop writes it, in the form that other libraries read too."""
+    return "file:///" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

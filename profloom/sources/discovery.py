@@ -56,7 +56,8 @@ Groups = dict[str, list[Source]]
 
 def expand_path(path: str | os.PathLike) -> str:
     """Without quotes and blanks around, with ``~`` and environment variables filled in; URIs stay as they are."""
-    text = str(path).strip().strip("'\"").strip().removeprefix("file://")
+    text = str(path).strip().strip("'\"").strip()
+    text = "/" + text.removeprefix("file:").lstrip("/") if text.startswith("file:/") else text
     if "://" in text:
         return text
     return os.path.abspath(os.path.expandvars(os.path.expanduser(text)))

@@ -35,6 +35,7 @@ def test_paths_are_expanded(monkeypatch):
     monkeypatch.setenv("SOMEWHERE", "/data")
     assert discovery.expand_path(' "$SOMEWHERE/x" ') == "/data/x"
     assert discovery.expand_path("s3://bucket/x") == "s3://bucket/x"
+    assert discovery.expand_path("file:/data/x") == discovery.expand_path("file:///data/x") == "/data/x"
 
 
 def test_groups_and_checks(tmp_path, spark):
